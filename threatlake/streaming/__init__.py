@@ -1,0 +1,5 @@
+"""No stateful stream operator is offered.
+
+Every projection in ``threatlake.functions`` is stateless, so the same column
+expressions run on a streaming DataFrame; ``tests/test_streaming.py`` shows it.
+"""
