@@ -280,12 +280,8 @@ def clock_with_events(d: Data):
     return D.dim_time(d.spark).join(counted, "time_sk", "left").fillna(0, ["events"])
 
 
-@query("""SELECT attack_label, attack_family, severity, mitre_technique_id, mitre_tactic, COUNT(event_id) AS events
-  FROM fx_attack_type LEFT JOIN fx_fact USING (attack_label, attack_family) JOIN (SELECT 1 AS x) ON true
-  GROUP BY ALL""".replace(" USING (attack_label, attack_family)", " ON attack_label = fx_fact.attack_label").replace(
-    "SELECT attack_label, attack_family", "SELECT t.attack_label, t.attack_family").replace(
-    "FROM fx_attack_type LEFT JOIN fx_fact ON attack_label = fx_fact.attack_label JOIN (SELECT 1 AS x) ON true",
-    "FROM fx_attack_type t LEFT JOIN fx_fact f ON t.attack_label = f.attack_label"))
+@query("""SELECT t.attack_label, t.attack_family, severity, mitre_technique_id, mitre_tactic, COUNT(event_id) AS events
+  FROM fx_attack_type t LEFT JOIN fx_fact f ON t.attack_label = f.attack_label GROUP BY ALL""")
 def attack_types_with_events(d: Data):
     counted = d.fact.groupBy("attack_label").agg(F.count("*").alias("events"))
     types = D.dim_attack_type(d.spark).drop("attack_sk")
