@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake.functions.numbers import clean_features
+from threatlake.session import cut_lineage
 
 # fixed values: trees and depth of the three binary forests
 FLOW_FOREST = {"numTrees": 100, "maxDepth": 20}
@@ -35,10 +36,14 @@ def assembler(features, out: str = "features") -> VectorAssembler:
 def train_binary(
     df: DataFrame, features, label: str, balanced: bool = True, seed: int = 42, **forest,
 ) -> PipelineModel:
-    """Random forest over cleaned features; ``balanced`` weighs classes inversely to their size."""
+    """Random forest over cleaned features; ``balanced`` weighs classes inversely to their size.
+
+    Fitting reads its input several times, so the feature columns are checkpointed first.
+    """
     clean = clean_features(df, features).withColumn(label, F.col(label).cast("double"))
     params = {**FLOW_FOREST, **forest}
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, cacheNodeIds=False, **params)
+    clean = cut_lineage(clean.select(*features, label))
     if balanced:
         clean, rf = with_class_weight(clean, label), rf.setWeightCol("weight")
     return Pipeline(stages=[assembler(features), rf]).fit(clean)
@@ -58,7 +63,7 @@ def train_family(
 
     The default is a multinomial forest; ``booster`` takes one gradient-boosted model per class.
     """
-    clean = with_class_weight(clean_features(df, features), label)
+    clean = with_class_weight(cut_lineage(clean_features(df, features).select(*features, label)), label)
     codes = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc").fit(clean)
     if booster:
         gbt = GBTClassifier(maxDepth=depth, maxIter=trees, stepSize=0.1, seed=seed, weightCol="weight", labelCol="_code")

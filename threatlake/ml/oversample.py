@@ -75,9 +75,11 @@ def nearest_neighbours(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # many queries may want one block: they are split over salts, each with a copy of the block's bounded rows
     per_block = visits.groupBy("pivot", "part").agg(F.greatest(F.ceil(F.count("*") / (4 * block)), F.lit(1)).alias("copies"))
-    asked = visits.join(per_block, ["pivot", "part"]).withColumn("salt", F.pmod(F.xxhash64("id"), "copies"))
-    copied = members.select("id", "x", "pivot", "part").join(per_block, ["pivot", "part"]).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    asked = visits.join(per_block, ["pivot", "part"]).select(
+        "id", "x", "pivot", "part", F.pmod(F.xxhash64("id"), F.col("copies")).alias("salt"))
+    spread = per_block.toDF("pivot", "part", "spread")
+    copied = members.select("id", "x", "pivot", "part").join(spread, ["pivot", "part"]).select(
+        "id", "x", "pivot", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("spread") - 1)).alias("salt"))
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
@@ -97,6 +99,7 @@ def nearest_neighbours(
         return out[np.isfinite(out["distance"])]
 
     key = ["pivot", "part", "salt"]
+    asked, copied = asked.toDF("id", "x", *key), copied.toDF("id", "x", *key)
     candidates = asked.groupBy(*key).cogroup(copied.groupBy(*key)).applyInPandas(
         search, "id bigint, neighbour bigint, distance double")
     best = candidates.groupBy("id").agg(
