@@ -9,6 +9,7 @@ from threatlake import constants as C
 from threatlake.checks.flows import _pct
 from threatlake.checks.registry import Data, query
 from threatlake.checks.stars import SPLIT
+from threatlake.functions.numbers import lookup
 from threatlake.ml import evaluation as E
 from threatlake.ml import forest, isolation, oversample, scoring
 from threatlake.operators import sampling as SA
@@ -114,9 +115,10 @@ def model_advantage(d: Data):
 
 
 @query(f"""SELECT s AS scenario, COUNT(*) FILTER (WHERE predicted = 1) AS caught, COUNT(*) AS total, {_pct('COUNT(*) FILTER (WHERE predicted = 1)', 'COUNT(*)', 1)} AS recall_pct
-  FROM (SELECT *, attack_sk % 4 AS s FROM {LABELED} x) y WHERE s <> 0 AND is_attack = 1 GROUP BY 1""")
+  FROM (SELECT *, CASE attack_family_denorm WHEN 'DDoS' THEN 1 WHEN 'DoS' THEN 2 WHEN 'Botnet' THEN 3 ELSE 0 END AS s FROM {LABELED} x) y WHERE s <> 0 AND is_attack = 1 GROUP BY 1""")
 def scenario_recall(d: Data):
-    return E.scenario_recall(_scored(d).withColumn("scenario", F.col("attack_sk") % 4), "scenario", "is_attack", "predicted")
+    scenario = F.coalesce(lookup(F.col("attack_family_denorm"), {"DDoS": 1, "DoS": 2, "Botnet": 3}), F.lit(0))
+    return E.scenario_recall(_scored(d).withColumn("scenario", scenario), "scenario", "is_attack", "predicted")
 
 
 @query(f"""SELECT tn, fp, fn, tp, {_pct('fp', 'fp + tn', 3)} AS fpr_pct, {_pct('fn', 'fn + tp', 3)} AS fnr_pct FROM (SELECT COUNT(*) FILTER (WHERE is_attack = 0 AND predicted = 0) AS tn,

@@ -447,11 +447,6 @@ def time_span(d: Data):
     return P.time_span(d.events, "ts")
 
 
-@query()
-def type_profile(d: Data):
-    return P.type_profile(d.spark, {t: getattr(d, t) for t in ("events", "orders", "lineitem", "customer")})
-
-
 @query(f"""WITH t AS (SELECT *, year(event_time) * 10000 + month(event_time) * 100 + day(event_time) AS date_sk FROM fx_flow)
   SELECT 0 AS null_dates, 0 AS bad_times, COUNT(*) FILTER (WHERE date_sk < 20240105 OR date_sk > 20240120) AS dates_outside, MIN(date_sk) AS first_date,
   MAX(date_sk) AS last_date, COUNT(*) FILTER (WHERE {IP_CLASS.format('src_ip')} = 'invalid') AS invalid_src, 0 AS invalid_dest FROM t""")

@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IPV4_TEXT = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -34,7 +35,7 @@ def ipv4_class(address: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6_class(addresses: pd.Series) -> pd.Series:
     def one(text):
         try:

@@ -190,14 +190,12 @@ def score_summary(df: DataFrame, keys: list[str], score: str, places: int = 4) -
 
 def describe_score(df: DataFrame, score: str, places: int = 4) -> DataFrame:
     """One row: count, mean, deviation, extremes and exact quartiles."""
-    tagged = df.select(F.lit("all").alias("_all"), F.col(score))
-    out = tagged.groupBy("_all").agg(
-        F.count(score).alias("count"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"),
-        F.min(score).alias("min"), F.max(score).alias("max"))
     names = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    for name, fraction in names.items():
-        out = out.join(exact_percentile(tagged, ["_all"], score, fraction, name), "_all")
-    return out.withColumns({c: F.round(c, places) for c in ("mean", "std", "min", "max", *names)}).drop("_all")
+    out = df.agg(
+        F.count(score).alias("count"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"),
+        F.min(score).alias("min"), F.max(score).alias("max"),
+    ).withColumns({n: exact_percentile(df, [], score, fraction, n).scalar() for n, fraction in names.items()})
+    return out.withColumns({c: F.round(c, places) for c in ("mean", "std", "min", "max", *names)})
 
 
 def feature_gaps(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +53,10 @@ def dim_time(spark: SparkSession) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], schema)
+    """Fixed rows with a running key; an Arrow table becomes a local relation of known size, so joins broadcast it."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = list(zip(*[(i, *r) for i, r in enumerate(rows, 1)]))
+    return spark.createDataFrame(pa.table(dict(zip(names, (pa.array(c) for c in columns)))), schema)
 
 
 def dim_attack_type(spark: SparkSession) -> DataFrame:
