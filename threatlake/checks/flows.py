@@ -154,6 +154,11 @@ def incomplete_rows_dropped(d: Data):
     return kept.agg(F.count("*").alias("kept"), F.sum("event_id").alias("id_sum"))
 
 
+@query("SELECT COUNT(*) AS rows_in, COUNT(*) FILTER (WHERE event_time_raw IS NULL OR src_ip IS NULL OR dest_ip IS NULL) AS dropped FROM fx_flow")
+def incomplete_count(d: Data):
+    return FL.incomplete_count(d.flow, ["event_time_raw", "src_ip", "dest_ip"])
+
+
 @query("SELECT event_id, attack_label FROM fx_fact WHERE is_attack IS NOT NULL")
 def labeled_rows(d: Data):
     return FL.labeled(d.fact).select("event_id", "attack_label")

@@ -16,6 +16,7 @@ from threatlake.session import cut_lineage
 FLOW_FOREST = {"numTrees": 100, "maxDepth": 20}
 USER_DAY_FOREST = {"numTrees": 200, "maxDepth": 15}
 USER_FOREST = {"numTrees": 300, "maxDepth": 10}
+BINS = 256  # split candidates per feature, as fine as histogram boosting
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -41,7 +42,7 @@ def train_binary(
     Fitting reads its input several times, so the feature columns are checkpointed first.
     """
     clean = clean_features(df, features).withColumn(label, F.col(label).cast("double"))
-    params = {**FLOW_FOREST, **forest}
+    params = {**FLOW_FOREST, "maxBins": BINS, **forest}
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, cacheNodeIds=False, **params)
     clean = cut_lineage(clean.select(*features, label))
     if balanced:
@@ -66,11 +67,12 @@ def train_family(
     clean = with_class_weight(cut_lineage(clean_features(df, features).select(*features, label)), label)
     codes = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc").fit(clean)
     if booster:
-        gbt = GBTClassifier(maxDepth=depth, maxIter=trees, stepSize=0.1, seed=seed, weightCol="weight", labelCol="_code")
+        gbt = GBTClassifier(maxDepth=depth, maxBins=BINS, maxIter=trees, stepSize=0.1, seed=seed, weightCol="weight", labelCol="_code")
         model = OneVsRest(classifier=gbt, labelCol="_code", weightCol="weight", rawPredictionCol="rawPrediction")
     else:
         model = RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", labelCol="_code", featuresCol="features")
+            numTrees=trees, maxDepth=depth, maxBins=BINS, seed=seed, weightCol="weight", labelCol="_code",
+            featuresCol="features")
     names = IndexToString(inputCol="prediction", outputCol="predicted_family", labels=codes.labels)
     return Pipeline(stages=[assembler(features), codes.setHandleInvalid("keep"), model, names]).fit(clean)
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.functions.numbers import to_double
 
 
-def drop_incomplete(df: DataFrame, columns: list[str], observation: Observation | None = None) -> DataFrame:
-    """Rows with every named column; the number dropped is observed while the job runs."""
+def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a value in every named column."""
+    return df.filter(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
+
+
+def incomplete_count(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in all and rows ``drop_incomplete`` takes away; reads the named columns only."""
     complete = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
-    if observation is not None:
-        df = df.observe(observation, F.count("*").alias("rows_in"), F.count_if(~complete).alias("dropped"))
-    return df.filter(complete)
+    return df.agg(F.count("*").alias("rows_in"), F.count_if(~complete).alias("dropped"))
 
 
 def labeled(df: DataFrame, column: str = "is_attack") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake import constants as C
@@ -13,7 +13,7 @@ from threatlake.functions.numbers import coerce_integers
 from threatlake.functions.times import date_key, outside_hours, time_key, weekend
 from threatlake.operators import dimensions as D
 from threatlake.operators import quality as Q
-from threatlake.operators.filters import drop_incomplete
+from threatlake.operators.filters import drop_incomplete, incomplete_count
 from threatlake.operators.joins import enrich_with_cache, resolve_key
 from threatlake.operators.sampling import extract_sample
 from threatlake.plans.audit import RunAudit
@@ -21,16 +21,18 @@ from threatlake.plans.views import refresh_views
 from threatlake.sources.sinks import next_version, write_fact, write_tables
 
 
+LOADABLE = ["event_time", "Source IP", "Destination IP"]
+
+
 def extract(
     flows: DataFrame, mode: str = "full", size: int | None = None, ids: tuple[str, ...] = ("Flow ID", "event_time"),
-    observation: Observation | None = None,
 ) -> DataFrame:
     """Rows that can be loaded: with time and both addresses; sample modes draw per family first."""
     if mode in ("sample", "test"):
         flows = extract_sample(flows, "attack_family", list(ids), size or 10_000)
     elif mode != "full":
         raise ValueError(f"unknown run mode: {mode}")
-    return drop_incomplete(flows, ["event_time", "Source IP", "Destination IP"], observation)
+    return drop_incomplete(flows, LOADABLE)
 
 
 def transform(flows: DataFrame, ipv6: bool = False) -> DataFrame:
@@ -94,11 +96,11 @@ def run_flow_job(
     out: dict[str, DataFrame] = {}
     with RunAudit(spark, f"{root}/meta", "flow_pipeline", run_mode=mode, config={"version": version, "size": size}) as run:
         with run.stage("extract") as stage:
-            seen = Observation()
             Q.require_columns(flows, at_least=min(C.MIN_FLOW_COLUMNS, len(flows.columns)))
-            kept = next_version(spark, extract(flows, mode, size, observation=seen), root, "extracted", version)
-            stage.rows_in, stage.rows_out = seen.get["rows_in"], seen.get["rows_in"] - seen.get["dropped"]
-            stage.notes = f"dropped {seen.get['dropped']}"
+            kept = next_version(spark, extract(flows, mode, size), root, "extracted", version)
+            stage.rows_out = kept.count()
+            seen = incomplete_count(flows, LOADABLE).first()
+            stage.rows_in, stage.notes = seen["rows_in"], f"incomplete {seen['dropped']}"
             Q.require_rows(stage.rows_out, mode, least_rows)
             run.counts["extracted"] = stage.rows_out
         with run.stage("transform") as stage:
