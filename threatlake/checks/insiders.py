@@ -16,6 +16,7 @@ from threatlake.operators import ordering as O
 from threatlake.plans import insider_job as IJ
 from threatlake.plans import reports as R
 from threatlake.plans import views as V
+from threatlake.session import cut_lineage
 
 DAYS_OF_BASELINE = 10
 
@@ -85,7 +86,7 @@ def _days(d: Data):
 
 
 def _tables(d: Data):
-    days = _days(d)
+    days = cut_lineage(_days(d))  # read by the baselines, the peers and the features
     baselines = I.personal_baselines(days, baseline_days=DAYS_OF_BASELINE)
     return days, baselines, I.user_day_features(days, d.user, baselines)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from threatlake.checks.flows import _pct
@@ -25,7 +27,7 @@ DAY = "strptime(f.date_sk::VARCHAR, '%Y%m%d')"
 
 
 def _dates(d: Data):
-    return D.dim_date_over(d.fact, "event_time")
+    return D.dim_date(d.spark, date(1990, 1, 1), date(2029, 12, 31))
 
 
 def _types(d: Data):

@@ -11,16 +11,16 @@ def _attacks(fact: DataFrame) -> DataFrame:
 
 
 def attack_summary(fact: DataFrame, dates: DataFrame, attack_types: DataFrame) -> DataFrame:
+    """Attacks per day, family and severity; the calendar joins the few aggregated rows, not the fact."""
     d = dates.select("date_sk", "full_date", "day_name")
     a = attack_types.select("attack_sk", "attack_family", "severity")
-    return _attacks(fact).join(d, "date_sk").join(a, "attack_sk").groupBy(
-        "full_date", "day_name", "attack_family", "severity",
-    ).agg(
+    daily = _attacks(fact).join(a, "attack_sk").groupBy("date_sk", "attack_family", "severity").agg(
         F.count("*").alias("event_count"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
         F.countDistinct("dest_asset_sk").alias("unique_targets"),
         F.sum("flow_bytes_per_sec").alias("total_byte_throughput"),
         F.avg("flow_duration").alias("avg_flow_duration_us"),
     )
+    return daily.join(d, "date_sk").drop("date_sk")
 
 
 GEO = ("country_iso", "country_name", "city", "latitude", "longitude", "asn_org", "abuse_confidence")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_snapshot(df: DataFrame, path: str, codec: str = "zstd") -> None:
@@ -17,10 +16,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_fact(df: DataFrame, path: str, mode: str = "overwrite", partition: str = "date_sk", order: str = "time_sk") -> None:
     """Fact partitioned by day and sorted by time inside each file.
 
-    Rows of a day are spread over tasks by a hash of the whole row, so a day that holds a
-    third of all rows is not written by one task.
+    The rebalance hint lets the adaptive planner cut a day that holds a third of all rows into
+    several files of the advisory size and put small days together in one task.
     """
-    spread = df.repartition(F.col(partition), F.pmod(F.xxhash64(*[c for c in df.columns if c != partition]), F.lit(32)))
+    spread = df.hint("rebalance", partition)
     spread.sortWithinPartitions(partition, order).write.mode(mode).option(
         "partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
 
