@@ -116,6 +116,8 @@ def oversample(
     near = nearest_neighbours(rare, id_col, vector, k, seed=seed)
     vectors = rare.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     size = vectors.count()
+    if size < 2:
+        raise ValueError("a minority of at least two rows is needed")
     each, rest = divmod(wanted, size)
     ranked = rank_by_hash(vectors, [], seeded_order(F.col("id"), seed=seed))
     copies = F.lit(each) + F.when(F.col("rn") <= rest, 1).otherwise(0)

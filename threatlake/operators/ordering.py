@@ -30,7 +30,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def rank_by_hash(
-    df: DataFrame, keys: list[str], order: Column, out: str = "rn", first: int | None = None, digits: int = 3,
+    df: DataFrame, keys: list[str], order: Column, out: str = "rn", first: int | None = None, digits: int = 4,
 ) -> DataFrame:
     """Row number inside ``keys`` by hash text ``order`` (hex digits, evenly spread).
 

@@ -12,6 +12,7 @@ from threatlake.operators.aggregates import table_counts
 from threatlake.operators.filters import after_baseline, all_of, at_least, is_in
 from threatlake.operators.joins import two_role_join
 from threatlake.operators.ordering import largest, latest_per_key, with_share
+from threatlake.plans.views import attack_pairs
 
 
 def _score(c: str, places: int = 4) -> Column:
@@ -116,9 +117,9 @@ def attacker_details(fact: DataFrame, assets: DataFrame, limit: int = 100) -> Da
     columns = ("country_iso", "country_name", "city", "latitude", "longitude", "asn_org", "is_known_attacker")
     located = assets.filter((F.col("is_internal") == 0) & F.col("country_iso").isNotNull()).select(
         F.col("asset_sk").alias("src_asset_sk"), F.col("asset_identifier").alias("ip"), *columns)
-    attacks = fact.filter(F.col("is_attack") == 1).join(located, "src_asset_sk")
+    attacks = attack_pairs(fact).join(located, "src_asset_sk")
     details = attacks.groupBy("ip", *columns).agg(
-        F.count("event_id").alias("attack_count"), F.countDistinct("dest_asset_sk").alias("unique_targets"))
+        F.sum("events").alias("attack_count"), F.countDistinct("dest_asset_sk").alias("unique_targets"))
     return largest(details.filter(F.col("attack_count") > 0), [F.desc("attack_count"), F.asc("ip")], limit)
 
 
@@ -132,19 +133,13 @@ def geo_summary(assets: DataFrame) -> DataFrame:
 def internal_targets(fact: DataFrame, assets: DataFrame) -> DataFrame:
     inside = assets.filter(F.col("is_internal") == 1).select(
         F.col("asset_sk").alias("dest_asset_sk"), F.col("asset_identifier").alias("internal_ip"))
-    return fact.filter(F.col("is_attack") == 1).join(inside, "dest_asset_sk").groupBy("internal_ip").agg(
-        F.count("event_id").alias("attack_count"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
+    return attack_pairs(fact).join(inside, "dest_asset_sk").groupBy("internal_ip").agg(
+        F.sum("events").alias("attack_count"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
         F.countDistinct("attack_sk").alias("attack_types_seen"))
 
 
 def attack_edges(fact: DataFrame, assets: DataFrame) -> DataFrame:
-    """External source to internal target with coordinates.
-
-    The fact is counted by (source, target, label) before the two host joins.
-    """
-    keys = ["src_asset_sk", "dest_asset_sk", "attack_sk"]
-    counted = fact.filter(F.col("is_attack") == 1).groupBy(*keys).agg(
-        F.count("event_id").alias("n"), F.min("event_time").alias("a"), F.max("event_time").alias("b"))
+    """External source to internal target with coordinates."""
     sources = assets.filter(
         (F.col("is_internal") == 0) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
     ).select(
@@ -155,9 +150,9 @@ def attack_edges(fact: DataFrame, assets: DataFrame) -> DataFrame:
     targets = assets.filter(F.col("is_internal") == 1).select(
         F.col("asset_sk").alias("dest_asset_sk"), F.col("asset_identifier").alias("dest_ip"))
     edge = ["src_ip", "src_lat", "src_lon", "src_country_iso", "src_country", "src_city", "dest_ip"]
-    return counted.join(sources, "src_asset_sk").join(targets, "dest_asset_sk").groupBy(*edge).agg(
-        F.sum("n").alias("attack_count"), F.countDistinct("attack_sk").alias("attack_families"),
-        F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
+    return attack_pairs(fact).join(sources, "src_asset_sk").join(targets, "dest_asset_sk").groupBy(*edge).agg(
+        F.sum("events").alias("attack_count"), F.countDistinct("attack_sk").alias("attack_families"),
+        F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
 
 
 def working_hours(fact: DataFrame, times: DataFrame, attack_types: DataFrame) -> DataFrame:

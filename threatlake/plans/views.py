@@ -23,6 +23,17 @@ def attack_summary(fact: DataFrame, dates: DataFrame, attack_types: DataFrame) -
     return daily.join(d, "date_sk").drop("date_sk")
 
 
+def attack_pairs(fact: DataFrame) -> DataFrame:
+    """Attacks counted by source, target and label, before any host is joined.
+
+    Floods repeat few pairs very often, so a hot source or target shrinks to its partners
+    inside the map tasks and does not travel row by row.
+    """
+    return _attacks(fact).groupBy("src_asset_sk", "dest_asset_sk", "attack_sk").agg(
+        F.count("*").alias("n"), F.count("event_id").alias("events"),
+        F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+
+
 GEO = ("country_iso", "country_name", "city", "latitude", "longitude", "asn_org", "abuse_confidence")
 
 
@@ -31,10 +42,10 @@ def top_attackers(fact: DataFrame, assets: DataFrame, attack_types: DataFrame) -
     a = assets.filter(F.col("is_internal") == 0).select(
         F.col("asset_sk").alias("src_asset_sk"), F.col("asset_identifier").alias("attacker_ip"), *GEO)
     t = attack_types.select("attack_sk", "attack_family")
-    return _attacks(fact).join(a, "src_asset_sk").join(t, "attack_sk").groupBy("attacker_ip", *GEO).agg(
-        F.count("*").alias("attack_count"), F.countDistinct("dest_asset_sk").alias("unique_targets"),
+    return attack_pairs(fact).join(a, "src_asset_sk").join(t, "attack_sk").groupBy("attacker_ip", *GEO).agg(
+        F.sum("n").alias("attack_count"), F.countDistinct("dest_asset_sk").alias("unique_targets"),
         F.countDistinct("attack_family").alias("attack_families_used"),
-        F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"),
+        F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
     )
 
 
@@ -42,10 +53,10 @@ def attack_targets(fact: DataFrame, assets: DataFrame, attack_types: DataFrame)
     columns = ("asset_type", "business_unit", "criticality")
     a = assets.select(F.col("asset_sk").alias("dest_asset_sk"), F.col("asset_identifier").alias("target_ip"), *columns)
     t = attack_types.select("attack_sk", "attack_family")
-    return _attacks(fact).join(a, "dest_asset_sk").join(t, "attack_sk").groupBy("target_ip", *columns).agg(
-        F.count("*").alias("attacks_received"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
+    return attack_pairs(fact).join(a, "dest_asset_sk").join(t, "attack_sk").groupBy("target_ip", *columns).agg(
+        F.sum("n").alias("attacks_received"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
         F.countDistinct("attack_family").alias("attack_families_seen"),
-        F.min("event_time").alias("first_attacked"), F.max("event_time").alias("last_attacked"),
+        F.min("first").alias("first_attacked"), F.max("last").alias("last_attacked"),
     )
 
 
