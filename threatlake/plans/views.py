@@ -29,8 +29,9 @@ def attack_pairs(fact: DataFrame) -> DataFrame:
     Floods repeat few pairs very often, so a hot source or target shrinks to its partners
     inside the map tasks and does not travel row by row.
     """
+    identified = F.count("event_id" if "event_id" in fact.columns else "*")
     return _attacks(fact).groupBy("src_asset_sk", "dest_asset_sk", "attack_sk").agg(
-        F.count("*").alias("n"), F.count("event_id").alias("events"),
+        F.count("*").alias("n"), identified.alias("events"),
         F.min("event_time").alias("first"), F.max("event_time").alias("last"))
 
 
