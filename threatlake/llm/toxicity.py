@@ -76,12 +76,12 @@ class Toxicity:
         """Calibrated probability that a text is toxic."""
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -500, 500)))
 
-    def calibrate(self, texts: list[bytes], labels: np.ndarray) -> None:
-        """Logistic fit of slope and offset on texts that training has not seen; classes weigh alike."""
+    def calibrate(self, texts: list[bytes], labels: np.ndarray, prior: float = 0.5) -> None:
+        """Logistic fit of slope and offset on texts that training has not seen; ``prior`` is the weight of the toxic ones."""
         m, y = self.margins(texts), np.asarray(labels, float)
         if not 0 < y.sum() < len(y):
             return
-        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum())
         center, width = (m * weight).sum(), max(m.std(), 1e-9)
         x, a, b = (m - center) / width, 1.0, 0.0
         for _ in range(50):  # Newton steps with a small ridge, so that separable data give finite values
@@ -153,22 +153,32 @@ def train(texts: list[bytes], labels: np.ndarray, passage: int = PASSAGE, dim: i
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5,
         held_out: int = 0, sample: int = SAMPLE) -> Toxicity:
     """Learns from at most ``sample`` labelled texts of each class, those of lowest id hash; rows of the held-out fold,
-    and rows without a label of 0 or 1, are never read. Equal texts of a class count once."""
+    and rows without a label of 0 or 1, are never read. Equal texts of a class count once; the share of toxic labels that
+    calibrates the score comes from all labels of the training folds."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held_out)).distinct()
+    share = known.agg(F.avg("label").alias("p")).first().p
     order = F.xxhash64("doc_id", "label")
     ids = [known.where(F.col("label") == k).orderBy(order).limit(sample) for k in (0, 1)]
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).join(ids[0].union(ids[1]), "doc_id").collect()
     seen = {(bytes(r.text), r.label) for r in rows}
     rows = sorted(seen)
-    return learn([t for t, _ in rows], np.array([y for _, y in rows], int))
+    return learn([t for t, _ in rows], np.array([y for _, y in rows], int), balance(share or 0.0))
 
 
-def learn(texts: list[bytes], labels: np.ndarray) -> Toxicity:
-    """Trains on four of five texts, by their hash, and calibrates on the fifth."""
+def balance(share: float) -> float:
+    """Weight of the toxic class at calibration: halfway, in log odds, between its share and equal weight, so that neither
+    missed toxic texts nor rejected clean ones are bought cheaply."""
+    share = min(max(share, 0.01), 0.99)
+    odds = (share / (1 - share)) ** 0.5
+    return odds / (1 + odds)
+
+
+def learn(texts: list[bytes], labels: np.ndarray, prior: float = 0.5) -> Toxicity:
+    """Trains on four of five texts, by their hash, and calibrates on the fifth; ``prior`` is the weight of toxic texts there."""
     apart = np.array([crc32(t) % 5 == 4 for t in texts], bool)
     model = train([t for t, x in zip(texts, apart, strict=True) if not x], labels[~apart])
-    model.calibrate([t for t, x in zip(texts, apart, strict=True) if x], labels[apart])
+    model.calibrate([t for t, x in zip(texts, apart, strict=True) if x], labels[apart], prior)
     return model
 
 
