@@ -17,8 +17,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatlake.llm.storage import write_shared
-from threatlake.llm.text import map_rows
+from threatlake.llm.storage import kept, write_shared
+from threatlake.llm.text import frequent, map_rows
 
 #: Words of the lexicon, and words whose ids a task remembers, at most.
 LEXICON_WORDS, REMEMBERED = 65_536, 300_000
@@ -194,7 +194,7 @@ class Lexicon:
             ok[alive[over]] = True
             alive = alive[~over]
         ok &= self.final[state] > 0
-        begin, end, ids = self.start[rank * ok], self.start[rank * ok + 1], self.ids
+        begin, end, ids = self.start[rank * ok], self.start[(rank + 1) * ok], self.ids
         return [tuple(ids[a:b].tolist()) if good else None for good, a, b in zip(ok, begin, end, strict=True)]
 
 
@@ -230,7 +230,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
-    """(word, n): the ``size`` most frequent words over all texts, ties to the smaller word."""
+    """(word, n): the most frequent words over all texts, at most ``size``."""
     pattern, breaks, flush = PATTERN, "|".join(map(regex.escape, vocabulary.added)), REMEMBERED
 
     def count(batches):
@@ -249,13 +249,13 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
         yield rows()
 
     parts = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return frequent(kept(parts.groupBy("word").agg(F.sum("n").alias("n")), "words"), "n", size)
 
 
 def publish_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", size: int = LEXICON_WORDS) -> str:
     """Compiles the lexicon of the corpus and makes the file known to all executors; returns its name there."""
     spark, vocabulary = docs.sparkSession, Vocabulary.read(vocabulary_path)
-    top = [r.word for r in frequent_words(docs, vocabulary, text, size).select("word").collect()]
+    top = frequent_words(docs, vocabulary, text, size).select("word").toArrow()["word"].to_pylist()
     path = write_shared(spark, "lexicon", Lexicon.compile({w.encode(): vocabulary.merge(w.encode()) for w in top}))
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
