@@ -31,7 +31,7 @@ def test_flow_job(spark, data, tmp_path):
     assets = spark.createDataFrame([], "asset_sk bigint, asset_identifier string, asset_type string, ip_address string, is_internal int, "
                                    "country_iso string, country_name string, city string, latitude double, longitude double, asn_org string, "
                                    "abuse_confidence int, is_known_attacker int, source_system string")
-    out = flow_job.run_flow_job(spark, flows, str(tmp_path), "v1", data.geo, data.reputation, cache, assets, data.customer, least_rows=1)
+    out = flow_job.run_flow_job(spark, flows, str(tmp_path), "v1", data.geo, data.reputation, cache, assets, data.customer, least_rows=1, least_columns=20)
     fact = out["fact_security_event"]
     kept = flows.filter("`Source IP` IS NOT NULL").count()
     assert fact.count() == kept and set(fact.columns) == set(C.FACT_COLUMNS)
@@ -41,16 +41,23 @@ def test_flow_job(spark, data, tmp_path):
     assert 0 < ports < kept
     results = {r["check_name"]: r for r in out["quality"].collect()}
     assert results["fact_row_count_matches_loaded"]["passed"] == 1 and results["fk_integrity_assets"]["passed"] == 1
-    assert results["fk_integrity_dates"]["passed"] == 0  # the calendar ends in 2017
+    assert results["fk_integrity_dates"]["passed"] == 1  # the calendar follows the data
     stages = [r["stage_name"] for r in spark.read.parquet(f"{tmp_path}/meta/meta_pipeline_stages").orderBy("started_at").collect()]
     assert stages == ["extract", "transform", "enrich", "load", "quality"]
     run = audit.recent_runs(spark.read.parquet(f"{tmp_path}/meta/meta_pipeline_runs"), 1).first()
     assert (run["status"], run["rows_extracted"], run["rows_loaded"]) == ("success", kept, kept)
     views = spark.read.parquet(f"{tmp_path}/views/v1/mv_hourly_threat_pattern")
     assert views.columns == ["day_name", "hour_24", "day_part", "attack_family", "event_count"]
+    attacks = fact.filter("is_attack = 1").count()
+    assert attacks > 0 and views.agg(F.sum("event_count")).first()[0] == attacks
+    summary = spark.read.parquet(f"{tmp_path}/views/v1/mv_attack_summary")
+    assert summary.count() > 0
+    assert fact.select("event_id").distinct().count() == kept and fact.filter("priority_score IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="columns, expected at least"):
+        flow_job.run_flow_job(spark, flows, str(tmp_path), "v0", data.geo, data.reputation, cache, assets, data.customer, least_rows=1, least_columns=len(flows.columns) + 1)
     # a second run over the same data: every address is cached, no host gets a new key
     again = flow_job.run_flow_job(
-        spark, flows, str(tmp_path), "v2", data.geo, data.reputation, out["enrichment_cache"], out["dim_asset"], data.customer, least_rows=1)
+        spark, flows, str(tmp_path), "v2", data.geo, data.reputation, out["enrichment_cache"], out["dim_asset"], data.customer, least_rows=1, least_columns=20)
     assert again["dim_asset"].count() == out["dim_asset"].count()
     assert again["enrichment_cache"].count() == out["enrichment_cache"].count()
 
@@ -114,10 +121,10 @@ def test_models_separate_separable_data(spark, tmp_path):
     binary = forest.train_binary(rows, features, "is_attack", numTrees=10, maxDepth=4)
     for booster in (False, True):
         family = forest.train_family(rows, features, "family", booster=booster, trees=2 if booster else 5, depth=3)
-        if booster:
-            continue
         named = forest.family_probabilities(family, rows)
         assert named.filter("family = predicted_family").count() >= 1150
+        assert named.filter("family_attack_proba < 0 OR family_attack_proba > 1 OR family_attack_proba IS NULL").count() == 0
+        assert named.filter("(predicted_family = 'Benign') <> (family_attack_proba < 0.5)").count() <= 12
     anomaly = isolation.train_on_benign(rows, features, ["event_id"], "family", trees=40, sample=128)
     assert anomaly.nodes.groupby("tree").size().max() <= 255
     scored = scoring.score_events(rows, binary, forest.train_family(rows, features, "family", trees=5, depth=3), anomaly, ["event_id", "family"])
@@ -131,6 +138,46 @@ def test_models_separate_separable_data(spark, tmp_path):
     assert merged.filter("priority_score IS NULL").count() == 0
 
 
+def test_isolation_trees_draw_from_the_whole_table(spark):
+    rows = spark.range(60_000).select("id", F.col("id").cast("double").alias("x"))
+    draws = isolation.tree_samples(rows, ["id"], 100, 64, 42, 60_000)
+    assert draws.select("id").distinct().count() > 0.85 * draws.count() > 0.85 * 9_000
+
+
+def test_scoring_jobs_feed_the_views(spark, data, tmp_path):
+    from threatlake.operators import dimensions as D
+    from threatlake.plans import reports, scoring_job, views
+
+    names = ["flow_duration", "total_fwd_packets", "total_bwd_packets"]
+    cache = spark.createDataFrame([], "ip string, country_iso string, country_name string, abuse_confidence int, is_known_attacker int, enrichment_status string")
+    assets = spark.createDataFrame([], "asset_sk bigint, asset_identifier string, asset_type string, ip_address string, is_internal int, "
+                                   "country_iso string, country_name string, city string, latitude double, longitude double, asn_org string, "
+                                   "abuse_confidence int, is_known_attacker int, source_system string")
+    out = flow_job.run_flow_job(spark, clean_flows(data), str(tmp_path), "v1", data.geo, data.reputation, cache, assets, data.customer, least_rows=1, least_columns=20)
+    fact = out["fact_security_event"]
+    models = scoring_job.train_flow_models(fact, names, 300, least_per_family=40, binary={"numTrees": 5, "maxDepth": 4},
+                                           family={"trees": 5, "depth": 4}, anomaly={"trees": 10, "sample": 32})
+    assert models.report.count() >= 2 and 0 < models.threshold < 1
+    scored = scoring_job.run_flow_scoring(spark, fact, models, out["dim_asset"], D.dim_date_over(fact, "event_time"), D.dim_attack_type(spark), str(tmp_path), "v1")
+    done = scored["fact_security_event"]
+    assert done.count() == fact.count() and done.filter("priority_score IS NULL OR model_version <> 'v1'").count() == 0
+    assert reports.priority_distribution(done).agg(F.sum("events")).first()[0] == done.count()
+    assert reports.top_alerts(done, out["dim_asset"], 20).count() == 20
+
+    users = data.customer.select(F.lit("2023-12-01").cast("date").alias("snapshot_date"), F.col("c_custkey").alias("user_id"), F.lit("R").alias("role"))
+    activity = data.activity.withColumns({
+        "email_recipients_count": A.recipient_count(F.col("email_to"), F.col("email_cc")), "email_to_external_domain": A.to_external(F.col("email_to"))})
+    pcs = spark.createDataFrame([], "asset_sk bigint, asset_identifier string, asset_type string, is_internal int, source_system string")
+    traits = spark.createDataFrame([(1, 40)], "user_id bigint, ocean_o int")
+    tables = insider_job.run_insider_job(spark, users, data.insider, activity, pcs, str(tmp_path / "users"), "v1", ["role"], 10, traits)
+    result = scoring_job.run_user_scoring(spark, tables, data.insider, str(tmp_path / "users"), "v1", numTrees=5, maxDepth=4)
+    view = result["v_user_risk_scoring"]
+    assert view.count() == tables["dim_user"].filter("is_current = 1").count() and view.filter("avg_risk_score IS NOT NULL").count() > 0
+    assert view.filter("ocean_o = 40").count() == 1
+    assert result["not_found"].count() == data.insider.select("user_id").distinct().join(data.customer, F.col("user_id") == F.col("c_custkey"), "left_anti").count()
+    assert views.user_risk_scoring(tables["dim_user"], tables["fact_user_activity"], D.dim_activity_type(spark)).count() == view.count()
+
+
 def test_neighbours_with_hot_copies(spark):
     import numpy as np
 

@@ -118,11 +118,19 @@ def test_split_is_disjoint_and_proportional(spark, test, val):
 def test_running_totals_equal_loop(spark, rows):
     rows = [(g, v, i + 1) for i, (g, v) in enumerate(dict.fromkeys((g, v + 0.0) for g, v in rows))]
     df = spark.createDataFrame(rows, "g string, v double, n int")
-    for r in O.running_totals(df, ["g"], "v", ["n"], buckets=7).collect():
+    for r in O.running_totals(df, ["g"], "v", ["n"]).collect():
         assert r["n_below"] == sum(n for g, v, n in rows if g == r["g"] and v < r["v"])
         assert r["n_total"] == sum(n for g, _, n in rows if g == r["g"])
 
 
+def test_heavy_tail_is_dealt_out_evenly(spark):
+    rows = spark.range(20_000).select((F.col("id") * 0.005).alias("v"), F.lit(1).alias("n")).union(spark.sql("SELECT 1e15D, 1"))
+    ranged = rows.repartitionByRange("v").groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count").alias("most"), F.avg("count").alias("mean")).first()
+    assert ranged["most"] < 3 * ranged["mean"]
+    top = O.running_totals(rows, [], "v", ["n"]).orderBy(F.desc("v")).first()
+    assert (top["n_below"], top["n_total"]) == (20_000, 20_001)
+
+
 def test_exact_percentile(spark):
     rng = random.Random(5)
     rows = [("a", rng.random()) for _ in range(501)] + [("a", 0.25)] * 400 + [("b", float(i)) for i in range(10)] + [("c", 7.0)]

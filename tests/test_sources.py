@@ -165,3 +165,20 @@ def test_schema_guards(spark):
     with pytest.raises(ValueError):
         Q.require_rows(5, "full", 10)
     Q.require_rows(5, "sample", 10)
+
+
+def test_quotes_backslashes_and_line_ends(spark, tmp_path):
+    put(tmp_path, "a.csv", 'id,filename,content\n1,"C:\\dir\\",x\n2,"a ""q"", b.doc",y\n')
+    rows = [tuple(r) for r in RD.read_text_csv(spark, str(tmp_path / "a.csv"), ["id", "filename", "content"]).orderBy("id").collect()]
+    assert rows == [("1", "C:\\dir\\", "x"), ("2", 'a "q", b.doc', "y")]
+    put(tmp_path, "b.csv", 'id,content\n1,"two\nlines"\n')
+    assert RD.read_text_csv(spark, str(tmp_path / "b.csv"), multiline=True).first()["content"] == "two\nlines"
+
+
+def test_snapshots_with_other_column_order(spark, tmp_path):
+    folder = tmp_path / "months"
+    folder.mkdir()
+    put(folder, "2010-01.csv", "employee_name,user_id,email,role\nAnn,A1,a@x,R\n")
+    put(folder, "2010-02.csv", "user_id,employee_name,role\nA1,Ann,S\n")
+    got = sorted((str(r["snapshot_date"]), r["user_id"], r["employee_name"], r["email_address"], r["role"]) for r in RD.read_snapshots(spark, str(folder)).collect())
+    assert got == [("2010-01-01", "A1", "Ann", "a@x", "R"), ("2010-02-01", "A1", "Ann", None, "S")]

@@ -13,6 +13,7 @@ from threatlake.functions.numbers import lookup
 from threatlake.ml import evaluation as E
 from threatlake.ml import forest, isolation, oversample, scoring
 from threatlake.operators import sampling as SA
+from threatlake.session import cut_lineage
 
 LABELED = "(SELECT *, CASE WHEN score_a >= 0.5 THEN 1 ELSE 0 END AS predicted FROM fx_fact WHERE is_attack IS NOT NULL)"
 
@@ -159,7 +160,7 @@ def split_report(d: Data):
 
 # ---- models (rows only: another library's random draws cannot be matched) ---------------------------------
 
-FEATURES = [f"x{i}" for i in range(16)]
+FEATURES = [f"x{i}" for i in range(64)]
 
 
 @query("SELECT label, COUNT(*) AS n, SUM(COUNT(*)) OVER () / (COUNT(*) OVER () * COUNT(*)) AS weight FROM embeddings GROUP BY 1")
@@ -169,7 +170,7 @@ def class_weights(d: Data):
 
 def _vectors(d: Data) -> DataFrame:
     family = F.element_at(F.array(*[F.lit(x) for x in ("Benign", "DoS", "DDoS", "Botnet", "Web Attack")]), (F.col("label") % 5 + 1).cast("int"))
-    columns = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(16)}
+    columns = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(len(FEATURES))}
     return d.embeddings.select(F.col("vec_id").alias("event_id"), family.alias("family"), *[c.alias(n) for n, c in columns.items()]).withColumn(
         "is_attack", (F.col("family") != "Benign").cast("int"))
 
@@ -177,27 +178,27 @@ def _vectors(d: Data) -> DataFrame:
 @query()
 def binary_forest(d: Data):
     rows = _vectors(d)
-    model = forest.train_binary(rows, FEATURES, "is_attack", numTrees=10, maxDepth=5)
+    model = forest.train_binary(rows, FEATURES, "is_attack")
     return forest.positive_probability(model, rows, "rf_attack_proba").select("event_id", "is_attack", "rf_attack_proba")
 
 
 @query()
 def feature_importance(d: Data):
-    model = forest.train_binary(_vectors(d), FEATURES, "is_attack", numTrees=10, maxDepth=5)
+    model = forest.train_binary(_vectors(d), FEATURES, "is_attack")
     return forest.feature_importance(model, 15)
 
 
 @query()
 def family_forest(d: Data):
     rows = _vectors(d)
-    model = forest.train_family(rows, FEATURES, "family", trees=10, depth=5)
+    model = forest.train_family(rows, FEATURES, "family", trees=200)
     return forest.family_probabilities(model, rows).select("event_id", "family", "family_attack_proba", "predicted_family")
 
 
 @query()
 def isolation_forest_scores(d: Data):
     rows = _vectors(d)
-    model = isolation.train_on_benign(rows, FEATURES, ["event_id"], "family", trees=25, sample=64)
+    model = isolation.train_on_benign(rows, FEATURES, ["event_id"], "family")
     raw = model.score(rows).select("event_id", "family", "anomaly_raw")
     return isolation.min_max(raw, "anomaly_raw").withColumn("flagged", isolation.anomaly_flag(F.col("anomaly_score")))
 
@@ -205,9 +206,9 @@ def isolation_forest_scores(d: Data):
 @query()
 def scored_events(d: Data):
     rows = _vectors(d)
-    binary = forest.train_binary(rows, FEATURES, "is_attack", numTrees=10, maxDepth=5)
-    family = forest.train_family(rows, FEATURES, "family", trees=10, depth=5)
-    anomaly = isolation.train_on_benign(rows, FEATURES, ["event_id"], "family", trees=25, sample=64)
+    binary = forest.train_binary(rows, FEATURES, "is_attack")
+    family = forest.train_family(rows, FEATURES, "family", trees=200)
+    anomaly = isolation.train_on_benign(rows, FEATURES, ["event_id"], "family")
     return scoring.score_events(rows, binary, family, anomaly, ["event_id"])
 
 
@@ -236,7 +237,7 @@ def user_scores(d: Data):
 
     _, baselines, features = _tables(d)
     profiles = user_profiles(features, baselines)
-    model = forest.train_binary(profiles, C.USER_FEATURES, "is_malicious", numTrees=10, maxDepth=5)
+    model = forest.train_binary(profiles, C.USER_FEATURES, "is_malicious", **forest.USER_FOREST)
     return risk_scores(model=model, profiles=profiles).drop("scored_at")
 
 
@@ -252,5 +253,5 @@ def label_tally(d: Data):
 def top_percent_flag(d: Data):
     from threatlake.operators.ordering import exact_percentile
 
-    limit = exact_percentile(d.fact, [], "score_b", 0.99, "t")
-    return d.fact.agg(F.count_if(F.col("score_b") >= limit.scalar()).alias("flagged")).withColumn("threshold", F.round(limit.scalar(), 9))
+    limit = cut_lineage(exact_percentile(d.fact, [], "score_b", 0.99, "t")).scalar()
+    return d.fact.agg(F.count_if(F.col("score_b") >= limit).alias("flagged")).withColumn("threshold", F.round(limit, 9))

@@ -293,7 +293,9 @@ FACT_KEYS = (
     "src_port_sk", "dest_port_sk", "protocol_sk", "attack_sk", "event_time", "flow_id",
 )
 FACT_MEASURES = tuple(name for name in FLOW_COLUMNS.values() if name in set(FLOW_FEATURES))
-FACT_COLUMNS = (*FACT_KEYS, *FACT_MEASURES, "is_attack", "attack_family_denorm")
+#: Empty after a load; scoring fills them by event_id.
+SCORE_COLUMNS = {"priority_score": "double", "priority_label": "string", "anomaly_score": "double", "model_version": "string", "scored_at": "timestamp"}
+FACT_COLUMNS = ("event_id", *FACT_KEYS, *FACT_MEASURES, "is_attack", "attack_family_denorm", *SCORE_COLUMNS)
 ACTIVITY_COLUMNS = (
     "event_id_src", "event_time", "user_id", "pc_id", "activity_type", "filename", "email_size",
     "email_recipients_count", "email_attachments_count", "email_to_external_domain", "email_from_external_address",

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,13 +77,25 @@ def train_family(
     return Pipeline(stages=[assembler(features), codes.setHandleInvalid("keep"), model, names]).fit(clean)
 
 
+def _one_against_rest(stage, df: DataFrame) -> DataFrame:
+    """Probabilities of one-against-rest models: the positive probability of each, scaled to sum to one; equal shares if all are zero."""
+    names = [f"_p{i}" for i in range(len(stage.models))]
+    for name, inner in zip(names, stage.models):
+        df = inner.transform(df).withColumn(name, vector_to_array(inner.getProbabilityCol())[1]).drop(
+            inner.getRawPredictionCol(), inner.getProbabilityCol(), inner.getPredictionCol())
+    total = sum((F.col(n) for n in names), F.lit(0.0))
+    shares = F.array(*[F.when(total > 0, F.col(n) / total).otherwise(1.0 / len(names)) for n in names])
+    best = F.array_position(shares, F.array_max(shares)) - 1
+    return df.withColumns({"probability": array_to_vector(shares), "rawPrediction": array_to_vector(shares), "prediction": best.cast("double")}).drop(*names)
+
+
 def family_probabilities(model: PipelineModel, df: DataFrame, benign: str = "Benign") -> DataFrame:
     """1 - P(benign) and the most likely family; labels are not needed at scoring time."""
     stages = [s for s in model.stages if not hasattr(s, "labelsArray")]
     labels = next(s for s in model.stages if hasattr(s, "labelsArray")).labels
     scored = clean_features(df, model.stages[0].getInputCols())
     for stage in stages:
-        scored = stage.transform(scored)
+        scored = _one_against_rest(stage, scored) if isinstance(stage, OneVsRestModel) else stage.transform(scored)
     probability = vector_to_array("probability")
     return scored.withColumn("family_attack_proba", 1.0 - probability[labels.index(benign)]).drop(
         "features", "rawPrediction", "probability", "prediction")

@@ -25,21 +25,18 @@ def mean_path(n: float) -> float:
 
 
 def tree_samples(df: DataFrame, ids: list[str], trees: int, sample: int, seed: int, rows: int) -> DataFrame:
-    """(tree, row) pairs: each tree gets ``sample`` rows by a seeded hash per (row, tree).
+    """(tree, row) pairs: each tree draws its own rows of the whole table by a seeded hash per (row, tree).
 
-    Rows first pass a hash filter that leaves a pool of bounded size, so the per-tree draw
-    looks at few rows however large the table is.
+    A tree draws about 1.6 times ``sample`` rows and keeps the first of them; trees are independent of each other.
     """
     unit = 2.0**63
-    pool = min(1.0, 64.0 * sample / max(rows, 1))
-    per_tree = min(1.0, 1.6 * sample / max(rows * pool, 1.0))
+    per_tree = min(1.0, 1.6 * sample / max(rows, 1))
 
     def draw(*parts):
         return F.shiftrightunsigned(F.xxhash64(*parts), 1) / F.lit(unit)
 
-    kept = df.filter(draw(F.lit(seed), *[F.col(c) for c in ids]) < pool)
     mine = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: draw(F.lit(seed + 1), t, *[F.col(c) for c in ids]) < per_tree)
-    return kept.withColumn("tree", F.explode(mine)).withColumn(
+    return df.withColumn("tree", F.explode(mine)).withColumn(
         "_draw", draw(F.lit(seed + 1), F.col("tree"), *[F.col(c) for c in ids]))
 
 

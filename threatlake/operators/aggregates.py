@@ -12,7 +12,7 @@ from threatlake.functions.numbers import flag, percent
 from threatlake.functions.times import hour_bucket, month_bucket
 from threatlake.operators.filters import union_all
 from threatlake.operators.joins import class_of_events
-from threatlake.operators.ordering import exact_percentile, join_on, with_share
+from threatlake.operators.ordering import exact_percentile, exact_percentiles, join_on, with_share
 
 HARMLESS = ("Benign", "Unlabeled")
 
@@ -194,7 +194,8 @@ def describe_score(df: DataFrame, score: str, places: int = 4) -> DataFrame:
     out = df.agg(
         F.count(score).alias("count"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"),
         F.min(score).alias("min"), F.max(score).alias("max"),
-    ).withColumns({n: exact_percentile(df, [], score, fraction, n).scalar() for n, fraction in names.items()})
+    ).withColumn("_p", exact_percentiles(df, [], score, names).select(F.struct(*names)).scalar())
+    out = out.withColumns({n: F.col(f"_p.{n}") for n in names}).drop("_p")
     return out.withColumns({c: F.round(c, places) for c in ("mean", "std", "min", "max", *names)})
 
 
@@ -226,8 +227,3 @@ def date_integrity(fact: DataFrame, dates: DataFrame) -> DataFrame:
         F.count("full_date").alias("resolved_dates"), F.min("full_date").alias("earliest"),
         F.max("full_date").alias("latest"))
 
-
-def alert_flag(label: str) -> Column:
-    from threatlake.functions.scores import is_alert
-
-    return flag(is_alert(F.col(label)))

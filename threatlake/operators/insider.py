@@ -40,6 +40,7 @@ def activity_fact(
         "is_after_hours": outside_hours(ts, 9, 17), "is_weekend": weekend(ts),
         "is_malicious_user": F.coalesce(F.col("is_malicious"), F.lit(0)),
         "in_attack_window": in_window(F.col("is_malicious"), ts, F.col("attack_window_start"), F.col("attack_window_end")),
+        "risk_score": F.lit(None).cast("double"), "model_version": F.lit(None).cast("string"), "scored_at": F.lit(None).cast("timestamp"),
     }
     rows = owned.select(*[c.alias(name) for name, c in columns.items()])
     return rows.dropna(subset=["user_sk", "activity_sk", "date_sk", "time_sk"])

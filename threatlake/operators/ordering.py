@@ -1,7 +1,7 @@
 """Ranks, running totals and exact percentiles that never put a whole group into one task.
 
 A plain window over a hot group sorts that group in a single task. Here every row first
-falls into a bucket that preserves the order wanted; bucket totals (few rows) give each
+falls into a bucket or range that preserves the order wanted; its totals (few rows) give each
 bucket its offset, and the row-level window runs inside one bucket only.
 """
 
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threatlake.session import cut_lineage
+
 
 def seeded_order(*ids: Column, seed: int = 42) -> Column:
     """Pseudo-random but repeatable order text of a row: the same draw on every run and engine."""
@@ -36,8 +38,8 @@ def rank_by_hash(
 
     16**digits buckets per group keep the window partitions small even when one group
     holds most rows. Adds ``out`` (1-based) and ``_size``, the number of rows of the group.
-    With ``first`` only the first rows of every group are wanted: buckets that start later
-    are dropped before the shuffle.
+    With ``first`` only the first rows of every group are wanted: the last bucket needed by each
+    group, one map entry per group, filters the rows where they are read, before any shuffle of them.
     """
     hashed = df.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, digits))
     totals = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -48,6 +50,10 @@ def rank_by_hash(
     offsets = totals.select(*keys, "_bucket", before.alias("_before"), F.sum("_n").over(per_group).alias("_size"))
     if first is not None:
         offsets = offsets.filter(F.col("_before") < first)
+        group_of = F.struct(F.lit(0).alias("_any"), *keys)
+        ends = offsets.groupBy(*keys).agg(F.max("_bucket").alias("_last"))
+        last = ends.agg(F.map_from_entries(F.collect_list(F.struct(group_of.alias("g"), "_last")))).scalar()
+        hashed = hashed.filter(F.col("_bucket") <= F.element_at(last, group_of))
     placed = join_on(hashed, offsets, [*keys, "_bucket"])
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_order"))
     ranked = placed.withColumn(out, F.col("_before") + inside)
@@ -56,67 +62,56 @@ def rank_by_hash(
     return ranked.drop("_before", "_bucket", "_order")
 
 
-def running_totals(df: DataFrame, keys: list[str], by: str, measures: list[str], buckets: int = 4096) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], by: str, measures: list[str]) -> DataFrame:
     """For rows with distinct ``by`` inside ``keys``: totals of smaller rows and of the whole group.
 
-    Adds ``<m>_below`` (rows with a smaller ``by``) and ``<m>_total`` per measure. The value
-    range of each group is cut twice into ``buckets`` equal parts, so a crowded first-level
-    bucket is split again.
+    Adds ``<m>_below`` (rows with a smaller ``by``) and ``<m>_total`` per measure. Rows are dealt out by ranges whose
+    bounds are sampled from the data, so a heavy tail does not crowd one task; the ranges are stored once and read for
+    their totals and for the rows.
     """
-    if keys:
-        marked = join_on(df, df.groupBy(*keys).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi")), keys)
-    else:
-        marked = df.withColumns({"_lo": df.agg(F.min(by)).scalar(), "_hi": df.agg(F.max(by)).scalar()})
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    place = F.coalesce((F.col(by) - F.col("_lo")) / width, F.lit(0.0)) * buckets
-    coarse = F.least(F.floor(place), F.lit(buckets - 1))
-    fine = F.least(F.floor((place - coarse) * buckets), F.lit(buckets - 1))
-    marked = marked.withColumns({"_coarse": coarse, "_fine": fine}).drop("_lo", "_hi")
-
-    def sums(frame, alias, source=lambda m: m):
-        return frame.agg(*[F.sum(source(m)).alias(alias(m)) for m in measures])
-
-    fine_totals = sums(marked.groupBy(*keys, "_coarse", "_fine"), lambda m: f"_f_{m}")
-    coarse_totals = sums(fine_totals.groupBy(*keys, "_coarse"), lambda m: f"_c_{m}", lambda m: f"_f_{m}")
+    ranged = cut_lineage(df.repartitionByRange(*keys, by).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
 
     def below(column, window):
         return F.coalesce(F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
-    group = W.partitionBy(*keys) if keys else W.partitionBy()
-    coarse_off = coarse_totals.select(
-        *keys, "_coarse",
-        *[below(f"_c_{m}", group.orderBy("_coarse")).alias(f"_co_{m}") for m in measures],
-        *[F.sum(f"_c_{m}").over(group).alias(f"{m}_total") for m in measures],
-    )
-    in_coarse = W.partitionBy(*keys, "_coarse").orderBy("_fine")
-    fine_off = fine_totals.select(
-        *keys, "_coarse", "_fine", *[below(f"_f_{m}", in_coarse).alias(f"_fo_{m}") for m in measures]
-    )
-    in_fine = W.partitionBy(*keys, "_coarse", "_fine").orderBy(by)
-    local = marked.withColumns({f"_lo_{m}": below(m, in_fine) for m in measures})
-    joined = join_on(join_on(local, fine_off, [*keys, "_coarse", "_fine"]), coarse_off, [*keys, "_coarse"])
-    total = {f"{m}_below": F.col(f"_lo_{m}") + F.col(f"_fo_{m}") + F.col(f"_co_{m}") for m in measures}
-    extra = [f"_{p}_{m}" for p in ("lo", "fo", "co") for m in measures]
-    return joined.withColumns(total).drop(*extra, "_coarse", "_fine")
+    group = W.partitionBy(*keys)
+    offsets = totals.select(
+        *keys, "_part", *[below(f"_t_{m}", group.orderBy("_part")).alias(f"_before_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(group).alias(f"{m}_total") for m in measures])
+    inside = W.partitionBy(*keys, "_part").orderBy(by)
+    local = ranged.withColumns({f"_inside_{m}": below(m, inside) for m in measures})
+    joined = join_on(local, offsets, [*keys, "_part"])
+    placed = joined.withColumns({f"{m}_below": F.col(f"_inside_{m}") + F.col(f"_before_{m}") for m in measures})
+    return placed.drop("_part", *[f"_{p}_{m}" for p in ("inside", "before") for m in measures])
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float, out: str) -> DataFrame:
-    """Percentile with linear interpolation per group, from value counts; NULL values are left out."""
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """Percentiles (name -> fraction) with linear interpolation per group, all from one pass over the value counts;
+    NULL values are left out."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     placed = running_totals(counts, keys, "_v", ["_n"])
-    place = F.lit(float(fraction)) * (F.col("_n_total") - 1)
-    low, high = F.floor(place), F.ceil(place)
+    places = {name: F.lit(float(fraction)) * (F.col("_n_total") - 1) for name, fraction in fractions.items()}
 
     def covers(k):
         return (F.col("_n_below") <= k) & (k < F.col("_n_below") + F.col("_n"))
 
-    picked = placed.filter(covers(low) | covers(high)).groupBy(*keys).agg(
-        F.max(F.when(covers(low), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers(high), F.col("_v"))).alias("_b"),
-        F.max(place - low).alias("_w"),
-    )
-    blended = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")
-    return picked.select(*keys, blended.alias(out))
+    ends = {}
+    for name, place in places.items():
+        ends[f"_a_{name}"] = F.max(F.when(covers(F.floor(place)), F.col("_v")))
+        ends[f"_b_{name}"] = F.max(F.when(covers(F.ceil(place)), F.col("_v")))
+        ends[f"_w_{name}"] = F.max(place - F.floor(place))
+    picked = placed.groupBy(*keys).agg(*[c.alias(n) for n, c in ends.items()])
+
+    def blended(name):
+        low, high, weight = (F.col(f"_{p}_{name}") for p in "abw")
+        return low + (high - low) * weight
+
+    return picked.select(*keys, *[blended(name).alias(name) for name in fractions])
+
+
+def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float, out: str) -> DataFrame:
+    return exact_percentiles(df, keys, value, {out: fraction})
 
 
 def latest_per_key(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

@@ -157,7 +157,7 @@ def run_checks(spark: SparkSession, checks: list[Check], run_id: str = "") -> Da
             rows.append((run_id, check.name, check.category, r["severity"], int(r["passed"]), r["expected"],
                          r["actual"], r["message"], now))
         except Exception as error:  # noqa: BLE001 - a broken check is a result, not an abort
-            rows.append((run_id, check.name, "execution_error", "error", 0, None, None, f"Exception: {error}"[:2000], now))
+            rows.append((run_id, check.name, "execution_error", "error", 0, None, None, f"Exception: {error}", now))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from threatlake.functions.numbers import coerce_integers
 from threatlake.functions.times import date_key, outside_hours, time_key, weekend
 from threatlake.operators import dimensions as D
 from threatlake.operators import quality as Q
-from threatlake.operators.filters import drop_incomplete, incomplete_count
+from threatlake.operators.filters import drop_incomplete
 from threatlake.operators.joins import enrich_with_cache, resolve_key
 from threatlake.operators.sampling import extract_sample
 from threatlake.plans.audit import RunAudit
@@ -24,15 +25,20 @@ from threatlake.sources.sinks import next_version, write_fact, write_tables
 LOADABLE = ["event_time", "Source IP", "Destination IP"]
 
 
-def extract(
-    flows: DataFrame, mode: str = "full", size: int | None = None, ids: tuple[str, ...] = ("Flow ID", "event_time"),
-) -> DataFrame:
-    """Rows that can be loaded: with time and both addresses; sample modes draw per family first."""
+def drawn(flows: DataFrame, mode: str = "full", size: int | None = None, ids: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of a run mode; sample modes draw per family. Rows are drawn by a hash of ``ids``, by default of all columns, so
+    rows that tie are equal and a sample repeats."""
     if mode in ("sample", "test"):
-        flows = extract_sample(flows, "attack_family", list(ids), size or 10_000)
-    elif mode != "full":
+        return extract_sample(flows, "attack_family", list(ids or sorted(flows.columns)), size or 10_000)
+    if mode != "full":
         raise ValueError(f"unknown run mode: {mode}")
-    return drop_incomplete(flows, LOADABLE)
+    return flows
+
+
+def extract(flows: DataFrame, mode: str = "full", size: int | None = None, ids: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that can be loaded, with time and both addresses, and an event id."""
+    rows = drop_incomplete(drawn(flows, mode, size, ids), LOADABLE)
+    return rows if "event_id" in rows.columns else rows.withColumn("event_id", F.monotonically_increasing_id())
 
 
 def transform(flows: DataFrame, ipv6: bool = False) -> DataFrame:
@@ -79,7 +85,8 @@ def apply_keys(flows: DataFrame, dims: Dimensions) -> DataFrame:
 
 def fact_rows(keyed: DataFrame, columns=C.FACT_COLUMNS, source_system: str = "flows") -> DataFrame:
     """Fact columns in order; a missing one is an error; counters become nullable longs."""
-    tagged = keyed.withColumn("source_system", F.lit(source_system))
+    empty = {n: F.lit(None).cast(kind) for n, kind in C.SCORE_COLUMNS.items() if n not in keyed.columns}
+    tagged = keyed.withColumns({"source_system": F.lit(source_system), **empty})
     missing = [c for c in columns if c not in set(tagged.columns)]
     if missing:
         raise ValueError(f"missing fact columns: {missing}")
@@ -90,22 +97,28 @@ def fact_rows(keyed: DataFrame, columns=C.FACT_COLUMNS, source_system: str = "fl
 def run_flow_job(
     spark: SparkSession, flows: DataFrame, root: str, version: str, ranges: DataFrame, reputation: DataFrame,
     cache: DataFrame, assets: DataFrame, users: DataFrame, mode: str = "full", size: int | None = None,
-    columns=C.FACT_COLUMNS, least_rows: int = C.MIN_FLOW_ROWS, ipv6: bool = True,
+    columns=C.FACT_COLUMNS, least_rows: int = C.MIN_FLOW_ROWS, least_columns: int = C.MIN_FLOW_COLUMNS, ipv6: bool = True,
+    expected_days: tuple[int, int] | None = None,
 ) -> dict[str, DataFrame]:
-    """Whole flow pipeline with run audit; each arrow that is read twice is written once."""
+    """Whole flow pipeline with run audit; each arrow that is read twice is written once.
+
+    The calendar covers the years of the data. ``expected_days`` (first and last date key) warns of days outside.
+    Event ids are drawn when the extracted rows are stored and stay with them.
+    """
     out: dict[str, DataFrame] = {}
     with RunAudit(spark, f"{root}/meta", "flow_pipeline", run_mode=mode, config={"version": version, "size": size}) as run:
         with run.stage("extract") as stage:
-            Q.require_columns(flows, at_least=min(C.MIN_FLOW_COLUMNS, len(flows.columns)))
+            Q.require_columns(flows, at_least=least_columns)
             kept = next_version(spark, extract(flows, mode, size), root, "extracted", version)
             stage.rows_out = kept.count()
-            seen = incomplete_count(flows, LOADABLE).first()
-            stage.rows_in, stage.notes = seen["rows_in"], f"incomplete {seen['dropped']}"
+            stage.rows_in = drawn(flows, mode, size).count()
+            stage.notes = f"incomplete {stage.rows_in - stage.rows_out}"
             Q.require_rows(stage.rows_out, mode, least_rows)
             run.counts["extracted"] = stage.rows_out
         with run.stage("transform") as stage:
-            shaped = transform(kept, ipv6)
-            stage.notes = "; ".join(Q.enforce_transform(Q.transform_findings(shaped)))
+            shaped = next_version(spark, transform(kept, ipv6), root, "shaped", version)
+            found = Q.transform_findings(shaped, *(expected_days or (0, 99991231)))
+            stage.notes = "; ".join(Q.enforce_transform(found))
             stage.rows_in = stage.rows_out = run.counts["extracted"]
             run.counts["transformed"] = stage.rows_out
         with run.stage("enrich") as stage:
@@ -124,7 +137,8 @@ def run_flow_job(
             write_fact(fact_rows(apply_keys(shaped, dims), columns), f"{root}/fact_security_event/{version}")
             fact = out["fact_security_event"] = spark.read.parquet(f"{root}/fact_security_event/{version}")
             stage.rows_out = run.counts["loaded"] = fact.count()
-            dates = D.dim_date(spark)
+            days = fact.agg(F.min("date_sk").alias("a"), F.max("date_sk").alias("b")).first()
+            dates = D.dim_date(spark, date(days.a // 10000, 1, 1), date(days.b // 10000, 12, 31)) if days.a else D.dim_date(spark)
             views = refresh_views(fact, dims.assets, dates, D.dim_time(spark), dims.attack_types)
             write_tables(views, f"{root}/views/{version}")
         with run.stage("quality"):

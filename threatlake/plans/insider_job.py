@@ -9,8 +9,11 @@ from threatlake import constants as C
 from threatlake.functions.scores import risk_label
 from threatlake.operators import dimensions as D
 from threatlake.operators import insider as I
+from threatlake.plans.audit import RunAudit
 from threatlake.sources.sinks import next_version
 
+TRAITS = tuple(f"ocean_{c}" for c in "ocean")
+
 
 def user_history(snapshots: DataFrame, insiders: DataFrame, attributes: list[str] | None = None) -> DataFrame:
     """Versioned users with stable hash keys, flagged from the answer key."""
@@ -49,10 +52,23 @@ def scoring_summary(scores: DataFrame, threshold: float = 0.315) -> DataFrame:
 
 def run_insider_job(
     spark: SparkSession, snapshots: DataFrame, insiders: DataFrame, activity: DataFrame, assets: DataFrame,
-    root: str, version: str, attributes: list[str] | None = None, baseline_days: int = 60,
+    root: str, version: str, attributes: list[str] | None = None, baseline_days: int = 60, psychometric: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables up to the user profiles; those read more than once are written in between."""
-    out = {"dim_user": next_version(spark, user_history(snapshots, insiders, attributes), root, "dim_user", version)}
+    """All tables up to the user profiles, each written once, under run audit. Without ``psychometric`` the five traits are empty."""
+    with RunAudit(spark, f"{root}/meta", "insider_pipeline", source_system="activity", config={"version": version}) as run:
+        with run.stage("build") as stage:
+            out = _build(spark, snapshots, insiders, activity, assets, root, version, attributes, baseline_days, psychometric)
+            stage.rows_out = run.counts["loaded"] = out["fact_user_activity"].count()
+    return out
+
+
+def _build(spark, snapshots, insiders, activity, assets, root, version, attributes, baseline_days, psychometric) -> dict[str, DataFrame]:
+    users = user_history(snapshots, insiders, attributes)
+    if psychometric is not None:
+        users = attach_ocean(users, psychometric)
+    users = users.withColumns({c: F.lit(None).cast("int") for c in TRAITS if c not in users.columns})
+    users = users.withColumns({c: F.lit(None).cast("string") for c in C.DIRECTORY_ATTRIBUTES.values() if c not in users.columns})
+    out = {"dim_user": next_version(spark, users, root, "dim_user", version)}
     out["dim_asset"] = next_version(spark, D.upsert_workstations(assets, activity), root, "dim_asset", version)
     types = D.dim_activity_type(spark)
     fact = I.activity_fact(activity, out["dim_user"], out["dim_asset"], types)
@@ -63,5 +79,6 @@ def run_insider_job(
     out["user_baselines"] = next_version(spark, baselines, root, "user_baselines", version)
     features = I.user_day_features(out["user_daily_features"], out["dim_user"], out["user_baselines"])
     out["user_daily_ml_features"] = next_version(spark, features, root, "user_daily_ml_features", version)
-    out["user_profiles"] = I.user_profiles(out["user_daily_ml_features"], out["user_baselines"])
+    profiles = I.user_profiles(out["user_daily_ml_features"], out["user_baselines"])
+    out["user_profiles"] = next_version(spark, profiles, root, "user_profiles", version)
     return out

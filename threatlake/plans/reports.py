@@ -82,16 +82,22 @@ def top_alerts(
     fact: DataFrame, assets: DataFrame, limit: int = 100, labels: list | None = None, families: list | None = None,
     source_countries: list | None = None, min_score: float = 0.0, tie: list[str] | None = None,
 ) -> DataFrame:
-    """Highest scored alerts with both hosts; filters are optional and AND-ed."""
+    """Highest scored alerts with both hosts; filters are optional and AND-ed.
+
+    The first rows are taken before the hosts are looked up; every host key of the fact is known (a quality check).
+    """
     scored = fact.filter(all_of(
         F.col("priority_label").isNotNull(), is_in(F.col("priority_label"), labels),
         is_in(F.col("attack_family_denorm"), families), at_least(F.col("priority_score"), min_score)))
-    hosts = two_role_join(
-        scored, assets, "asset_sk", {"src": "src_asset_sk", "dest": "dest_asset_sk"},
+    order = [F.desc("priority_score"), F.desc("event_time"), *[F.col(c) for c in tie or ["event_id"]]]
+    scored = scored.filter(F.col("src_asset_sk").isNotNull() & F.col("dest_asset_sk").isNotNull())
+    if source_countries:
+        origins = assets.filter(is_in(F.col("country_iso"), source_countries)).select(F.col("asset_sk").alias("src_asset_sk"))
+        scored = scored.join(origins, "src_asset_sk", "left_semi")
+    first = two_role_join(
+        largest(scored, order, limit), assets, "asset_sk", {"src": "src_asset_sk", "dest": "dest_asset_sk"},
         ["asset_identifier", "country_iso", "is_internal"])
-    wanted = hosts.filter(all_of(is_in(F.col("src_country_iso"), source_countries)))
-    first = largest(wanted, [F.desc("priority_score"), F.desc("event_time"), *[F.col(c) for c in tie or ["event_id"]]], limit)
-    return first.select(
+    return first.orderBy(*order).select(
         "event_id", "event_time", F.col("src_asset_identifier").alias("src_ip"), F.col("src_country_iso").alias("src_country"),
         F.col("src_is_internal").alias("src_internal"), F.col("dest_asset_identifier").alias("dest_ip"),
         F.col("dest_country_iso").alias("dest_country"), F.col("dest_is_internal").alias("dest_internal"),
@@ -135,7 +141,7 @@ def internal_targets(fact: DataFrame, assets: DataFrame) -> DataFrame:
         F.col("asset_sk").alias("dest_asset_sk"), F.col("asset_identifier").alias("internal_ip"))
     return attack_pairs(fact).join(inside, "dest_asset_sk").groupBy("internal_ip").agg(
         F.sum("events").alias("attack_count"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
-        F.countDistinct("attack_sk").alias("attack_types_seen"))
+        F.countDistinct("attack_sk").alias("attack_types_seen")).orderBy(F.desc("attack_count"), "internal_ip")
 
 
 def attack_edges(fact: DataFrame, assets: DataFrame) -> DataFrame:
@@ -152,7 +158,7 @@ def attack_edges(fact: DataFrame, assets: DataFrame) -> DataFrame:
     edge = ["src_ip", "src_lat", "src_lon", "src_country_iso", "src_country", "src_city", "dest_ip"]
     return attack_pairs(fact).join(sources, "src_asset_sk").join(targets, "dest_asset_sk").groupBy(*edge).agg(
         F.sum("events").alias("attack_count"), F.countDistinct("attack_sk").alias("attack_families"),
-        F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
+        F.min("first").alias("first_seen"), F.max("last").alias("last_seen")).orderBy(F.desc("attack_count"), "src_ip", "dest_ip")
 
 
 def working_hours(fact: DataFrame, times: DataFrame, attack_types: DataFrame) -> DataFrame:
@@ -228,7 +234,7 @@ def activity_timeline(users: DataFrame, features: DataFrame, baselines: DataFram
         "in_attack_window")
     usual = baselines.select(
         "user_sk", "baseline_usb_per_day", "baseline_ext_emails_per_day", "baseline_after_hours_pct")
-    return newest.join(days, "user_sk").join(usual, "user_sk", "left")
+    return newest.join(days, "user_sk").join(usual, "user_sk", "left").orderBy("feature_date", "user_sk")
 
 
 def user_options(users: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +41,15 @@ def file_day(path: Column) -> Column:
 
 def read_text_csv(
     spark: SparkSession, path, columns: list[str] | None = None, encoding: str = "UTF-8",
-    tag: str | None = None, nan_is_null: bool = False,
+    tag: str | None = None, nan_is_null: bool = False, multiline: bool = False,
 ) -> DataFrame:
     """CSV with every column as text; short rows are padded with NULL, names are stripped.
 
-    ``columns`` states the header in file order, so no file is opened to find it. ``tag`` adds
-    the weekday of the file name under that name; ``nan_is_null`` reads the text 'nan' as NULL.
+    A quote inside quoted text is doubled and a backslash is an ordinary letter. ``columns`` states the header in
+    file order, so no file is opened to find it. ``tag`` adds the weekday of the file name under that name;
+    ``nan_is_null`` reads the text 'nan' as NULL; ``multiline`` admits line ends inside quotes (files are then not split).
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", encoding)
+    reader = spark.read.options(header=True, mode="PERMISSIVE", encoding=encoding, quote='"', escape='"', multiLine=multiline)
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).option("enforceSchema", True)
     df = reader.csv(path)
@@ -147,11 +149,19 @@ def unify_activity(frames: list[DataFrame], sort: bool = False) -> DataFrame:
     return rows.orderBy("event_time") if sort else rows
 
 
+def _by_name(spark: SparkSession, path) -> DataFrame:
+    """CSV files whose headers may differ in order or columns: files of one header are read together, then joined by name."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    heads = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    frames = [spark.read.options(header=True, quote='"', escape='"').csv([unquote(f) for f in r.files]).withColumn("_file", F.col("_metadata.file_name")) for r in heads]
+    return union_all(frames)
+
+
 def read_snapshots(spark: SparkSession, path) -> DataFrame:
-    """Monthly directory files named YYYY-MM.csv; any other name is an error, text is trimmed."""
+    """Monthly directory files named YYYY-MM.csv, columns found by each file's own header; any other name is an error, text is trimmed."""
     columns = ["user_id", *C.DIRECTORY_ATTRIBUTES]
-    df = spark.read.option("header", True).csv(path)
-    name = F.col("_metadata.file_name")
+    df = _by_name(spark, path)
+    name = F.col("_file")
     month = F.regexp_extract(name, r"^(\d{4}-\d{2})\.csv$", 1)
     checked = F.when(month != "", month).otherwise(F.raise_error(F.concat(F.lit("unexpected snapshot file: "), name)))
     day = F.to_date(F.concat(checked, F.lit("-01")))
