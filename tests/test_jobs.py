@@ -155,6 +155,11 @@ def test_scoring_jobs_feed_the_views(spark, data, tmp_path):
                                    "abuse_confidence int, is_known_attacker int, source_system string")
     out = flow_job.run_flow_job(spark, clean_flows(data), str(tmp_path), "v1", data.geo, data.reputation, cache, assets, data.customer, least_rows=1, least_columns=20)
     fact = out["fact_security_event"]
+    few = fact.select("event_id", "attack_family_denorm", "is_attack", *names).limit(400)
+    sizes = {r[0]: r[1] for r in few.groupBy("attack_family_denorm").count().collect()}
+    least = max(sizes.values())
+    grown = {r[0]: r[1] for r in scoring_job.balanced_rows(few, names, "attack_family_denorm", least).groupBy("attack_family_denorm").count().collect()}
+    assert all(grown[k] == (least if n > 1 else 1) for k, n in sizes.items())
     models = scoring_job.train_flow_models(fact, names, 300, least_per_family=40, binary={"numTrees": 5, "maxDepth": 4},
                                            family={"trees": 5, "depth": 4}, anomaly={"trees": 10, "sample": 32})
     assert models.report.count() >= 2 and 0 < models.threshold < 1

@@ -205,13 +205,45 @@ def isolation_forest_scores(d: Data):
 
 @query()
 def scored_events(d: Data):
-    rows = _vectors(d)
+    return _score_all(_vectors(d))
+
+
+def _score_all(rows: DataFrame) -> DataFrame:
     binary = forest.train_binary(rows, FEATURES, "is_attack")
     family = forest.train_family(rows, FEATURES, "family", trees=200)
     anomaly = isolation.train_on_benign(rows, FEATURES, ["event_id"], "family")
     return scoring.score_events(rows, binary, family, anomaly, ["event_id"])
 
 
+@query("""SELECT vec_id AS event_id, TRUE AS binary_in_range, TRUE AS family_in_range, TRUE AS anomaly_in_range, TRUE AS family_known, TRUE AS label_fits,
+  0.0::DOUBLE AS least_anomaly, 1.0::DOUBLE AS greatest_anomaly FROM embeddings""")
+def scored_events_checked(d: Data):
+    """What must hold for the scores of every event, whatever the models drew: ranges, known families, labels that follow from the score."""
+    rows = _vectors(d)
+    scores = cut_lineage(_score_all(rows))
+    span = scores.agg(F.round(F.min("anomaly_score"), 6).alias("a"), F.round(F.max("anomaly_score"), 6).alias("b"))
+    score = F.col("priority_score")
+    label = F.when(score >= 0.75, "critical").when(score >= 0.55, "high").when(score >= 0.35, "medium").when(score >= 0.15, "low").otherwise("info")
+    named = scores.join(rows.select(F.col("family").alias("predicted_family")).distinct().withColumn("known", F.lit(True)), "predicted_family", "left")
+    return named.select(
+        "event_id", F.col("rf_attack_proba").between(0, 1).alias("binary_in_range"), F.col("family_attack_proba").between(0, 1).alias("family_in_range"),
+        F.col("anomaly_score").between(0, 1).alias("anomaly_in_range"), F.coalesce("known", F.lit(False)).alias("family_known"),
+        (F.col("priority_label") == label).alias("label_fits"), span.select("a").scalar().alias("least_anomaly"), span.select("b").scalar().alias("greatest_anomaly"))
+
+
+@query("SELECT 5 AS label, 40 AS rows, COUNT(*) AS originals, 0 AS beyond FROM embeddings WHERE label = 5")
+def oversampled_counts(d: Data):
+    """Synthetic rows asked for, and how many leave the box that the minority spans (none may)."""
+    rows = d.embeddings.withColumn("vector", F.col("embedding").cast("array<double>"))
+    made = oversample.oversample(rows, "vec_id", "vector", "label", 5, 40)
+    minority = rows.filter("label = 5")
+    bounds = [minority.agg(F.array(*[f(F.col("vector")[i]) for i in range(len(FEATURES))])).scalar() for f in (F.min, F.max)]
+    placed = made.withColumns({"_low": bounds[0], "_high": bounds[1]})
+    outside = F.exists(F.arrays_zip("vector", "_low", "_high"), lambda z: (z["vector"] < z["_low"] - 1e-9) | (z["vector"] > z["_high"] + 1e-9))
+    return placed.agg(F.lit(5).alias("label"), F.count("*").alias("rows"), F.count_if(outside).alias("beyond")).withColumn(
+        "originals", minority.agg(F.count("*")).scalar())
+
+
 NEIGHBOURS = """SELECT a.vec_id AS id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY
     list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   QUALIFY place <= 5"""

@@ -59,11 +59,9 @@ def flow_labels(d: Data):
   CAST(CASE WHEN rate_text ILIKE '%inf%' OR rate_text ILIKE '%nan%' THEN NULL ELSE round_even(TRY_CAST(rate_text AS DOUBLE), 0) END AS BIGINT) AS rate_whole
   FROM fx_flow""")
 def flow_typed_columns(d: Data):
-    return NUM.cast_by_map(
-        d.flow.select("event_id", "src_port", "rate_text"), {"src_port": "bigint", "rate_text": "double"}, ("event_id",),
-    ).join(
-        d.flow.select("event_id", NUM.to_integer(F.col("rate_text")).alias("rate_whole")), "event_id",
-    ).withColumnsRenamed({"src_port": "src_port_number", "rate_text": "rate"})
+    texts = d.flow.select("event_id", "src_port", "rate_text", NUM.to_integer(F.col("rate_text")).alias("rate_whole"))
+    typed = NUM.cast_by_map(texts, {"src_port": "bigint", "rate_text": "double"}, ("event_id", "rate_whole"))
+    return typed.withColumnsRenamed({"src_port": "src_port_number", "rate_text": "rate"})
 
 
 @query(f"SELECT event_id, source_day, {PARSED} AS event_time FROM fx_flow")

@@ -34,16 +34,15 @@ class FlowModels:
 
 def balanced_rows(train: DataFrame, features: list[str], family: str, least: int, key: str = "event_id") -> DataFrame:
     """Training rows in which every family has at least ``least`` rows; missing ones lie between neighbours of the family."""
-    base = clean_features(train, features).select(key, family, "is_attack", *features)
-    packed = base.withColumn("_v", F.array(*[F.col(c).cast("double") for c in features]))
+    base = clean_features(train, features).select(F.col(key).cast("string").alias(key), family, "is_attack", *features)
+    numbered = clean_features(train, features).select(key, family, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
     sizes = base.groupBy(family).agg(F.count("*").alias("n"), F.max("is_attack").alias("is_attack")).collect()
     out = base
     for row in sizes:
         if 1 < row["n"] < least:
-            made = oversample.oversample(packed.filter(F.col(family) == row[family]), key, "_v", family, row[family], least)
-            new = made.join(base.select(F.col(key).alias("id")), "id", "left_anti")
-            out = out.unionByName(new.select(
-                F.col("id").alias(key), F.lit(row[family]).alias(family), F.lit(row["is_attack"]).alias("is_attack"),
+            made = oversample.oversample(numbered, key, "_v", family, row[family], least - row["n"])
+            out = out.unionByName(made.select(
+                key, family, F.lit(row["is_attack"]).alias("is_attack"),
                 *[F.col("_v")[i].alias(c) for i, c in enumerate(features)]))
     return out
 
