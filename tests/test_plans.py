@@ -13,7 +13,7 @@ from threatlake.plans import reports as R
 from threatlake.plans import views as V
 
 PYTHON = {"scored_events_checked", "oversampled_counts", "address_classes_ipv6", "isolation_forest_scores", "scored_events", "nearest_neighbours", "oversampled_minority"}
-EAGER = {"binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
+EAGER = {"job_priority_distribution", "job_top_alerts", "binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
 
 
 def plan(df) -> str:

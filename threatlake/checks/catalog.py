@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatlake.checks import evaluation, flows, insiders, stars  # noqa: F401 - registration
+from threatlake.checks import evaluation, flows, insiders, jobs, stars  # noqa: F401 - registration
 from threatlake.checks.registry import QUERIES, Data
 
 
