@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.llm.storage import kept
-from threatlake.llm.text import chunks, interned, map_rows, remainder, text_bytes, words
+from threatlake.llm.text import chunks, frequent, map_rows, remainder, text_bytes, words
 
-#: Words with counts at hand in every task, classes of modelled words, words of such a class, classes of all other words.
-HEAD, CLASSES, MEMBERS, OTHERS = 1 << 18, 16, 64, 16
-#: History symbols (the modelled words, then hashed endings, then the start), rows of the hashed tables, rounds, tokens of a step, step size.
-SYMBOLS, PAIR_ROWS, WORD_ROWS, ROUNDS, STEP, RATE = 2048, 1 << 13, 1 << 13, 3, 8192, 0.15
+#: Bound of the words with counts at hand in every task, classes of modelled words, words of such a class, classes of all other words.
+HEAD, CLASSES, MEMBERS, OTHERS = 1 << 17, 16, 32, 16
+#: History symbols (the modelled words, then hashed endings, then the start), rows of the hashed table, rounds, tokens of a step, step size.
+SYMBOLS, WORD_ROWS, ROUNDS, STEP, RATE = 2048, 1 << 13, 3, 16_384, 0.15
 #: Rows of a table that travel together, words that a counting task holds before it hands them on, and words and bytes of a chunk.
-ROWS, FLUSH = 1024, 400_000
+ROWS, FLUSH = 1024, 1_000_000
 
 
 def key_of(word: bytes) -> bytes:
@@ -73,6 +73,10 @@ class Vocabulary:
             outside = np.log(np.concatenate([slots.sum(axis=1), self.other_total + 0.5]) / (slots.sum() + self.other_total.sum() + 0.5 * OTHERS))
         self.word_bias = np.maximum(inside, -1e4).astype(np.float32)
         self.class_bias = np.maximum(outside, -1e4).astype(np.float32)
+        # class and symbol by rank; one more place for rank -1
+        self.kinds, self.symbols = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for word, i in self.head.items():
+            self.kinds[i], self.symbols[i] = (i // MEMBERS, i) if i < modelled else (other_class(word), symbol_of(word))
 
     @property
     def divisor(self) -> int:
@@ -80,116 +84,121 @@ class Vocabulary:
 
 
 def build_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+    """Counts of at most ``head`` words leave the executors, and one row for each class."""
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "key").limit(head).collect()
+    top = frequent(counts, "c", head).select("key", "c").toArrow().sort_by([("c", "descending"), ("key", "ascending")])
+    keys, tops = [k.encode() for k in top["key"].to_pylist()], top["c"].to_numpy()
     by_class = counts.groupBy((F.ascii("key") - 65).alias("k")).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).collect()
     total, once = np.zeros(OTHERS), np.zeros(OTHERS)
     for r in by_class:
         total[r.k], once[r.k] = r.n, r.once
-    for r in top[: CLASSES * MEMBERS]:
-        k = ord(r.key[0]) - 65
-        total[k] -= r.c
-        once[k] -= r.c == 1
-    return Vocabulary({r.key[1:].encode(): i for i, r in enumerate(top)}, np.array([r.c for r in top], np.int64), size.n or 0, size.v, total, once)
+    for key, c in zip(keys[: CLASSES * MEMBERS], tops):
+        total[key[0] - 65] -= c
+        once[key[0] - 65] -= c == 1
+    return Vocabulary({k[1:]: i for i, k in enumerate(keys)}, np.asarray(tops, np.int64), size.n or 0, size.v, total, once)
 
 
 @dataclass
 class Stream:
-    """Tokens of a chunk of texts: words, then one end per text, with their history."""
+    """Tokens of a chunk of texts: words, then one end per text, with the symbols before them."""
 
     rank: np.ndarray  # place in the head, -1 for tail words
     kind: np.ndarray  # class
-    pair: np.ndarray  # class-table rows: previous symbol, symbol before, both
+    one: np.ndarray  # previous symbol
+    two: np.ndarray  # the symbol before that
     text: np.ndarray
-    word: np.ndarray  # index into vocabulary
-    vocabulary: list[bytes]
-    symbols: tuple[np.ndarray, np.ndarray]
+    tail: list[bytes]  # tail words in order
+
+
+def other_class(word: bytes) -> int:
+    return CLASSES + crc32(word[-2:]) % OTHERS
+
+
+def symbol_of(word: bytes) -> int:
+    """Symbol of a word that is not modelled."""
+    return CLASSES * MEMBERS + crc32(word[-3:]) % (SYMBOLS - CLASSES * MEMBERS - 1)
 
 
 def stream(vocabulary: Vocabulary, texts: list[bytes]) -> Stream:
-    ids, lengths, distinct = interned([words(t) for t in texts])
-    distinct.append(b"")
-    modelled = CLASSES * MEMBERS
+    split = [words(t) for t in texts]
+    for part in split:
+        part.append(b"")
+    flat = [w for part in split for w in part]
     get = vocabulary.head.get
-    rank = np.fromiter((get(w, -1) for w in distinct), np.int64, len(distinct))
-    other = np.fromiter((CLASSES + crc32(w[-2:]) % OTHERS for w in distinct), np.int64, len(distinct))
-    ending = np.fromiter((crc32(w[-3:]) for w in distinct), np.int64, len(distinct))
-    inside = (rank >= 0) & (rank < modelled)
-    kind = np.where(inside, rank // MEMBERS, other)
-    symbol = np.where(inside, rank, modelled + ending % (SYMBOLS - modelled - 1))
-    n = len(lengths)
-    size = lengths + 3
-    begin = np.cumsum(size) - size
-    word = np.full(int(size.sum()), -1, np.int64)
-    word[np.arange(len(ids)) + 3 * np.repeat(np.arange(n), lengths) + 2] = ids
-    word[begin + size - 1] = len(distinct) - 1
-    flat = np.where(word >= 0, symbol[word], SYMBOLS - 1)
-    at = np.flatnonzero(word >= 0)
-    one, two = flat[at - 1], flat[at - 2]
-    both = SYMBOLS * 2 + ((one * 2_654_435_761 + two * 40_503 * 65_537) >> 7) % PAIR_ROWS
-    token = word[at]
-    return Stream(rank[token], kind[token], np.stack([one, SYMBOLS + two, both]), np.repeat(np.arange(n), lengths + 1), token, distinct, (one, two))
+    rank = np.fromiter([get(w, -1) for w in flat], np.int64, len(flat))
+    rare = np.flatnonzero(rank < 0)
+    tail = [flat[i] for i in rare]
+    kind, symbol = vocabulary.kinds[rank], vocabulary.symbols[rank]
+    kind[rare] = [other_class(w) for w in tail]
+    symbol[rare] = [symbol_of(w) for w in tail]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    text = np.repeat(np.arange(len(split)), lengths)
+    one, two = np.empty_like(symbol), np.empty_like(symbol)
+    one[1:], two[2:] = symbol[:-1], symbol[:-2]
+    begin = np.cumsum(lengths) - lengths
+    one[begin] = two[begin] = SYMBOLS - 1
+    two[begin[lengths > 1] + 1] = SYMBOLS - 1
+    return Stream(rank, kind, one, two, text, tail)
 
 
 class Model:
-    """logits of class = bias + rows of three histories; logits of a member within its class = bias + rows of two (history, class) pairs."""
+    """Logits of a class = bias + rows of the previous symbol and of the one before it (a skip over one word); logits of a
+    member within its class = bias + the hashed row of (previous symbol, class)."""
 
-    SHAPES = ((SYMBOLS * 2 + PAIR_ROWS, CLASSES + OTHERS), (WORD_ROWS * 2, MEMBERS))
+    SHAPES = ((SYMBOLS * 2, CLASSES + OTHERS), (WORD_ROWS, MEMBERS))
 
     def __init__(self, vocabulary: Vocabulary, tables: list[np.ndarray] | None = None):
         self.vocabulary = vocabulary
         self.tables = tables or [np.zeros(s, np.float32) for s in self.SHAPES]
 
-    @staticmethod
-    def member_rows(s: Stream, at: np.ndarray) -> np.ndarray:
-        one, two, kind = s.symbols[0][at], s.symbols[1][at], s.kind[at]
-        return np.stack([((one * CLASSES + kind) * 2_654_435_761 >> 9) % WORD_ROWS, WORD_ROWS + ((two * CLASSES + kind) * 2_246_822_519 >> 9) % WORD_ROWS])
-
-    def log_softmax(self, table: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        weights = self.tables[table]
-        logits = weights[rows[0]]
+    def raised(self, table: int, rows: tuple, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, their exponentials, sums of these)."""
+        logits = self.tables[table][rows[0]]
         for r in rows[1:]:
-            logits += weights[r]
+            logits += self.tables[table][r]
         logits += bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
+        np.minimum(logits, 80, out=logits)
+        e = np.exp(logits)
+        return logits, e, e @ np.ones(e.shape[1], np.float32)
 
-    def log_probs(self, s: Stream) -> np.ndarray:
-        """Natural log of P(class | history), times P(word | class, history) for modelled words."""
-        out = np.empty(len(s.rank))
+    def steps(self, s: Stream):
+        """(table, rows, bias, target, tokens) of the class and of the member factor, some tokens at a time, sorted by the first row."""
         modelled = CLASSES * MEMBERS
-        for a in range(0, len(out), STEP):
-            b = min(a + STEP, len(out))
-            out[a:b] = self.log_softmax(0, s.pair[:, a:b], self.vocabulary.class_bias)[np.arange(b - a), s.kind[a:b]]
+        for a in range(0, len(s.rank), STEP):
+            b = min(a + STEP, len(s.rank))
+            at = a + np.argsort(s.one[a:b].astype(np.uint16), kind="stable")
+            yield 0, (s.one[at], SYMBOLS + s.two[at]), self.vocabulary.class_bias, s.kind[at], at
             at = a + np.flatnonzero((s.rank[a:b] >= 0) & (s.rank[a:b] < modelled))
             if len(at):
-                p = self.log_softmax(1, self.member_rows(s, at), self.vocabulary.word_bias[s.kind[at]])
-                out[at] += p[np.arange(len(at)), s.rank[at] % MEMBERS]
+                row = ((s.one[at] * CLASSES + s.kind[at]) * 2_654_435_761 >> 9) % WORD_ROWS
+                order = np.argsort(row.astype(np.uint16), kind="stable")
+                at = at[order]
+                yield 1, (row[order],), self.vocabulary.word_bias[s.kind[at]], s.rank[at] % MEMBERS, at
+
+    def log_probs(self, s: Stream) -> np.ndarray:
+        """Natural log of P(class | history), times P(word | class, history) for modelled words."""
+        out = np.zeros(len(s.rank))
+        for table, rows, bias, target, at in self.steps(s):
+            logits, _, total = self.raised(table, rows, bias)
+            out[at] += logits[np.arange(len(target)), target] - np.log(total)
         return out
 
     def learn(self, s: Stream, gathered: list[np.ndarray], seen: list[np.ndarray], rate: float = RATE) -> None:
-        """Gradient steps over the tokens in order; ``gathered`` holds the squared gradients of each row, ``seen`` its tokens."""
-        modelled = CLASSES * MEMBERS
-        for a in range(0, len(s.rank), STEP):
-            b = min(a + STEP, len(s.rank))
-            self._step(0, s.pair[:, a:b], self.vocabulary.class_bias, s.kind[a:b], gathered, seen, rate)
-            at = a + np.flatnonzero((s.rank[a:b] >= 0) & (s.rank[a:b] < modelled))
-            if len(at):
-                self._step(1, self.member_rows(s, at), self.vocabulary.word_bias[s.kind[at]], s.rank[at] % MEMBERS, gathered, seen, rate)
-
-    def _step(self, table, rows, bias, target, gathered, seen, rate):
-        g = np.exp(self.log_softmax(table, rows, bias))
-        g[np.arange(len(target)), target] -= 1
-        weights, squares, count = self.tables[table], gathered[table], seen[table]
-        for r in rows:
-            order = np.argsort(r.astype(np.uint16), kind="stable")
-            sorted_rows = r[order]
-            first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-            total, hit = np.add.reduceat(g[order], first, axis=0), sorted_rows[first]
-            squares[hit] += (total * total).mean(axis=1)
-            weights[hit] -= (rate / np.sqrt(squares[hit] + 1e-3))[:, None] * total
-            count[hit] += np.diff(np.append(first, len(r)))
+        """Gradient steps over the tokens; ``gathered`` holds the squared gradients of each row, ``seen`` its tokens."""
+        for table, rows, bias, target, _ in self.steps(s):
+            _, g, total = self.raised(table, rows, bias)
+            g /= total[:, None]
+            g[np.arange(len(target)), target] -= 1
+            weights, squares, count = self.tables[table], gathered[table], seen[table]
+            for i, r in enumerate(rows):
+                if i:
+                    order = np.argsort(r.astype(np.uint16), kind="stable")
+                    r, g = r[order], g[order]
+                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                sums, hit = np.add.reduceat(g, first, axis=0), r[first]
+                squares[hit] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+                weights[hit] -= (rate / np.sqrt(squares[hit] + 1e-3))[:, None] * sums
+                count[hit] += np.diff(np.append(first, len(r)))
 
 
 def _train_round(rows: DataFrame, vocabulary, tables: list[np.ndarray]) -> list[np.ndarray]:
@@ -264,11 +273,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     def make():
         v = shared.value
         model = Model(v, given.value)
-        # log10 of the count part, of the class share and of the base, by rank
-        kinds = np.array([crc32(w[-2:]) % OTHERS for w in v.head], np.int64)
+        # log10 of the share in the class, 0 for modelled words, and of the base probability, by rank
         with np.errstate(divide="ignore"):
-            share = np.log10(v.counts * v.known[kinds]) if len(kinds) else np.zeros(0)
-        share[: CLASSES * MEMBERS] = 0
+            share = np.log10(np.concatenate([v.counts, [1]]) * np.where(v.kinds < CLASSES, 0, v.known[v.kinds - CLASSES]))
+        share[v.kinds < CLASSES] = 0
         base = np.log10((v.counts + 1) / v.divisor)
 
         def work(batch):
@@ -277,16 +285,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 s = stream(v, batch["text"][a:b])
                 n, inside = b - a, s.rank >= 0
                 logs = model.log_probs(s) / math.log(10)
-                place = s.rank[inside]
+                place, of = s.rank[inside], s.text[inside]
                 out["n_tokens"].append(np.bincount(s.text, minlength=n))
-                out["head_known"].append(np.bincount(s.text[inside], minlength=n))
-                out["head_base"].append(np.bincount(s.text[inside], base[place], n))
-                out["head_score"].append(np.bincount(s.text, logs, n) + np.bincount(s.text[inside], share[place], n))
-                rare, sizes = s.word[~inside], np.bincount(s.text[~inside], minlength=n)
-                names = {i: key_of(s.vocabulary[i]).decode() for i in np.unique(rare)}
-                flat = [names[i] for i in rare]
-                ends = np.cumsum(sizes)
-                out["tail"] += [flat[e - k : e] for e, k in zip(ends, sizes, strict=True)]
+                out["head_known"].append(np.bincount(of, minlength=n))
+                out["head_base"].append(np.bincount(of, base[place], n))
+                out["head_score"].append(np.bincount(s.text, logs, n) + np.bincount(of, share[place], n))
+                ends = np.cumsum(np.bincount(s.text[~inside], minlength=n))
+                keys = [key_of(w).decode() for w in s.tail]
+                out["tail"] += [keys[i:j] for i, j in zip([0, *ends], ends, strict=False)]
             return {k: x if k == "tail" else np.concatenate(x) if x else [] for k, x in out.items()}
         return work
 
@@ -295,7 +301,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     parts = kept(parts, "scored")
     by_class = lambda values: F.element_at(F.array(*(F.lit(float(x)) for x in values)), F.ascii("key") - 64)
     c, d = F.coalesce("c", F.lit(0)), float(vocabulary.divisor)
-    tail = parts.select("row", F.explode("tail").alias("key")).join(counts, "key", "left").select(
+    tail = parts.select("row", F.explode("tail").alias("key")).join(counts.hint("shuffle_hash"), "key", "left").select(
         "row", F.log10((c + 1) / F.lit(d)).alias("base"), (c > 0).cast("long").alias("known"),
         F.log10(F.when(c > 0, c * by_class(vocabulary.known)).otherwise(by_class(vocabulary.unseen))).alias("score"))
     tail = tail.groupBy("row").agg(F.sum("base").alias("tail_base"), F.sum("known").alias("tail_known"), F.sum("score").alias("tail_score"))
