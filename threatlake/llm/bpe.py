@@ -21,7 +21,9 @@ from threatlake.llm.storage import kept, write_shared
 from threatlake.llm.text import frequent, map_rows
 
 #: Words of the lexicon, and words whose ids a task remembers, at most.
-LEXICON_WORDS, REMEMBERED = 65_536, 300_000
+LEXICON_WORDS, REMEMBERED = 131_072, 500_000
+#: Bytes of a word up to which its pairs are searched rather than queued, and the rank of a pair that never merges.
+SHORT, NEVER = 40, (1 << 60, -1)
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,7 +78,17 @@ class Vocabulary:
         """Ids of one word: the pair of lowest rank is merged first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
         n, merges = len(ids), self.merges
-        if n < 2:
+        if n <= SHORT:  # a look at all pairs is cheaper than keeping them in order
+            get = merges.get
+            found = [get(pair, NEVER) for pair in zip(ids, ids[1:])]
+            while found and (best := min(found)) is not NEVER:
+                i = found.index(best)
+                ids[i : i + 2] = [best[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+                if i < len(found):
+                    found[i] = get((ids[i], ids[i + 1]), NEVER)
             return tuple(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
