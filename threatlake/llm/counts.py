@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threatlake.llm.text import map_rows
 
 #: Words whose result a task remembers, at most; and what an unknown character scores below the worst piece.
-REMEMBERED, UNKNOWN = 400_000, 10.0
+REMEMBERED, UNKNOWN, LOWEST = 500_000, 10.0, float("-inf")
 #: Mark that stands for a space.
 MARK = "▁"
 
@@ -42,26 +42,36 @@ class UnigramCounter:
         self.memory: dict[str, tuple[float, int]] = {}
 
     def word(self, word: str) -> tuple[float, int]:
-        n = len(word)
-        best, count, single = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        """Matches come by their end, longest first, that is by their start; a place is closed when the matches move past it."""
+        n, unknown = len(word), self.unknown
+        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        place, single = 0, True  # the place being filled, and whether a one-character piece ends there
         for last, (length, score) in self.automaton.iter(word):
-            ends[last + 1].append((length, score))
+            if last >= place:
+                if not single:
+                    self._alone(word, place, best, count)
+                for skipped in range(place + 1, last + 1):
+                    best[skipped] = LOWEST
+                    self._alone(word, skipped, best, count)
+                place, single = last + 1, False
+                best[place] = LOWEST
+            total = best[place - length] + score
+            if total > best[place]:
+                best[place], count[place] = total, count[place - length] + 1
             if length == 1:
-                single[last + 1] = True
-        for end in range(1, n + 1):
-            top, pieces = None, 0
-            for length, score in sorted(ends[end], reverse=True):  # longest first: it starts first
-                total = best[end - length] + score
-                if top is None or total > top:
-                    top, pieces = total, count[end - length] + 1
-            if not single[end]:
-                total = best[end - 1] + self.unknown
-                if top is None or total > top:
-                    top, pieces = total, count[end - 1] + len(word[end - 1].encode())
-            best[end], count[end] = top, pieces
+                single = True
+        if not single:
+            self._alone(word, place, best, count)
+        for skipped in range(place + 1, n + 1):
+            best[skipped] = LOWEST
+            self._alone(word, skipped, best, count)
         return best[n], count[n]
 
+    def _alone(self, word, place, best, count):
+        total = best[place - 1] + self.unknown
+        if total > best[place]:
+            best[place], count[place] = total, count[place - 1] + len(word[place - 1].encode())
+
     def text(self, text: str) -> tuple[float, int]:
         """Each space becomes a mark, a mark is put in front unless there is one; a word runs from a mark to the next."""
         if not text:
