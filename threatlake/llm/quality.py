@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Quality, keep: list[str], text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``keep`` columns, then score and predicted, for every row; null texts are empty, repeated rows score alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_bytes(text).alias("__text"))
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, text_bytes(text).alias("__text"))
 
     def make():
         def work(batch):
@@ -162,4 +162,4 @@ def score(docs: DataFrame, model: Quality, keep: list[str], text: str = "text",
             return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
         return work
 
-    return map_rows(rows, {"score": "double", "predicted": "int"}, keep, make)
+    return map_rows(rows, {"score": "double", "predicted": "int"}, keep, make, text if text in keep else None)

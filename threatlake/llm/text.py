@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text handled at a time inside a task; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+#: Text handled at a time inside a task, a longer text alone; and rows turned into Python values at a time.
+CHUNK_BYTES, SLICE_ROWS = 4 << 20, 1024
 
 
 def text_bytes(name: str) -> Column:
@@ -66,11 +66,13 @@ def frequent(counts: DataFrame, count: str, size: int) -> DataFrame:
     return counts.where(level >= cut if cut is not None else F.lit(False))
 
 
-def map_rows(df: DataFrame, columns: dict[str, str], keep: list[str], make: Callable[[], Callable[[dict], Iterable[dict]]]) -> DataFrame:
+def map_rows(df: DataFrame, columns: dict[str, str], keep: list[str], make: Callable[[], Callable[[dict], Iterable[dict]]],
+             kept_text: str | None = None) -> DataFrame:
     """Arrow map that passes ``keep`` through and adds ``columns`` (name -> SQL type).
 
     ``make`` is called once per task and returns a function from a batch, a dict of Python lists for the other
-    columns of ``df``, to a dict of lists or arrays for ``columns``.
+    columns of ``df``, to a dict of lists or arrays for ``columns``. With ``kept_text``, a kept column, its UTF-8 bytes (null:
+    empty) are handed over as ``__text``, so a text that is kept is not sent twice. Batches are worked off in short slices.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -82,9 +84,14 @@ def map_rows(df: DataFrame, columns: dict[str, str], keep: list[str], make: Call
 
     def run(batches):
         work = make()
-        for batch in batches:
-            out = work({c: batch.column(c).to_pylist() for c in used})
-            arrays = [batch.column(k) for k in keep] + [pa.array(out[k], arrow.field(k).type) for k in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+        for whole in batches:
+            for start in range(0, len(whole), SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                values = {c: batch.column(c).to_pylist() for c in used}
+                if kept_text:
+                    values["__text"] = batch.column(kept_text).cast(pa.binary()).fill_null(b"").to_pylist()
+                out = work(values)
+                arrays = [batch.column(k) for k in keep] + [pa.array(out[k], arrow.field(k).type) for k in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
     return df.mapInArrow(run, schema)

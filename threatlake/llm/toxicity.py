@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -46,12 +46,18 @@ class Toxicity:
     passage: int
     slope: float = 1.0
     offset: float = 0.0
+    line: np.ndarray | None = None  # toxic minus clean logit of each n-gram, where only scores are wanted
+
+    def compact(self) -> Toxicity:
+        """The same scores without the embeddings: one number per n-gram."""
+        line = (self.grams @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
+        return replace(self, grams=np.zeros((len(self.grams), 0), np.float32), line=line)
 
     def word_margins(self, vocabulary: list[bytes]) -> np.ndarray:
         """Toxic minus clean logit of each word, without bias: the average over a passage commutes with the linear layer."""
         bits = int(self.grams.shape[0]).bit_length() - 1
         row, bucket = ngram_buckets([bare(w) for w in vocabulary], SHORTEST, LONGEST, bits)
-        line = self.grams @ (self.weights[:, 1] - self.weights[:, 0])
+        line = self.grams @ (self.weights[:, 1] - self.weights[:, 0]) if self.line is None else self.line
         total = np.bincount(row, line[bucket], len(vocabulary))
         return total / np.maximum(np.bincount(row, minlength=len(vocabulary)), 1)
 
@@ -184,8 +190,8 @@ def learn(texts: list[bytes], labels: np.ndarray, prior: float = 0.5) -> Toxicit
 
 def score(docs: DataFrame, model: Toxicity, keep: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``keep`` columns, then score and predicted, for every row; null texts are empty, repeated rows score alike."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_bytes(text).alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model.compact())
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, text_bytes(text).alias("__text"))
 
     def make():
         def work(batch):
@@ -193,4 +199,4 @@ def score(docs: DataFrame, model: Toxicity, keep: list[str], text: str = "text",
             return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
         return work
 
-    return map_rows(rows, {"score": "double", "predicted": "int"}, keep, make)
+    return map_rows(rows, {"score": "double", "predicted": "int"}, keep, make, text if text in keep else None)
