@@ -75,3 +75,24 @@ def test_no_rows_and_no_training_rows(documents):
     held = next(i for i in range(100) if crc32(str(i).encode()) % 7 == 2)
     r = maxent.score(documents([(held, "a b", "s")])).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def taught(names, texts):
+    """A model of the words by rank, and its probabilities of all tokens of the texts it was taught."""
+    vocabulary = maxent.Vocabulary({w.encode(): i for i, w in enumerate(names)}, np.full(len(names), 10), 10 * len(names), len(names),
+                                   np.zeros(maxent.OTHERS), np.zeros(maxent.OTHERS))
+    model = maxent.Model(vocabulary)
+    gathered, seen = [np.zeros(len(t), np.float32) for t in model.tables], [np.zeros(len(t), np.float32) for t in model.tables]
+    for _ in range(100):
+        model.learn(maxent.stream(vocabulary, [t.encode() for t in texts] * 10), gathered, seen)
+    return np.exp(model.log_probs(maxent.stream(vocabulary, [t.encode() for t in texts])))
+
+
+def test_word_within_its_class_follows_the_skipped_word():
+    texts = [f"{a} m{i} {b}" for i in range(9) for a, b in (("red", "one"), ("blue", "two"))]
+    assert (taught(["red", "blue", "one", "two", "", *(f"m{i}" for i in range(9))], texts)[2::4] > 0.8).all()
+
+
+def test_class_follows_the_pair_of_words_before():
+    names = ["a", "b", "x", *(f"w{i}" for i in range(maxent.MEMBERS - 3)), "y", ""]  # x and y in two classes
+    assert (taught(names, [f"{a} {b} {'x' if a == b else 'y'}" for a in "ab" for b in "ab"])[2::4] > 0.8).all()

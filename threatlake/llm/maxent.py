@@ -16,9 +16,9 @@ from threatlake.llm.storage import kept
 from threatlake.llm.text import chunks, frequent, map_rows, remainder, text_bytes, words
 
 #: Bound of the words with counts at hand in every task, classes of modelled words, words of such a class, classes of all other words.
-HEAD, CLASSES, MEMBERS, OTHERS = 1 << 17, 16, 32, 16
-#: History symbols (the modelled words, then hashed endings, then the start), rows of the hashed table, rounds, tokens of a step, step size.
-SYMBOLS, WORD_ROWS, ROUNDS, STEP, RATE = 2048, 1 << 13, 3, 16_384, 0.15
+HEAD, CLASSES, MEMBERS, OTHERS = 1 << 17, 16, 64, 16
+#: History symbols (the modelled words, then hashed endings, then the start), rows of the hashed tables, rounds, tokens of a step, step size.
+SYMBOLS, PAIR_ROWS, WORD_ROWS, ROUNDS, STEP, RATE = 2560, 1 << 13, 1 << 13, 3, 8192, 0.15
 #: Rows of a table that travel together, words that a counting task holds before it hands them on, and words and bytes of a chunk.
 ROWS, FLUSH = 1024, 1_000_000
 
@@ -142,17 +142,26 @@ def stream(vocabulary: Vocabulary, texts: list[bytes]) -> Stream:
 
 
 class Model:
-    """Logits of a class = bias + rows of the previous symbol and of the one before it (a skip over one word); logits of a
-    member within its class = bias + the hashed row of (previous symbol, class)."""
+    """Logits of a class = bias + rows of the previous symbol, of the one before it (a skip over one word) and of both together
+    (hashed); logits of a member within its class = bias + hashed rows of (previous symbol, class) and (the one before, class)."""
 
-    SHAPES = ((SYMBOLS * 2, CLASSES + OTHERS), (WORD_ROWS, MEMBERS))
+    SHAPES = ((SYMBOLS * 2 + PAIR_ROWS, CLASSES + OTHERS), (WORD_ROWS * 2, MEMBERS))
 
     def __init__(self, vocabulary: Vocabulary, tables: list[np.ndarray] | None = None):
         self.vocabulary = vocabulary
         self.tables = tables or [np.zeros(s, np.float32) for s in self.SHAPES]
 
+    @staticmethod
+    def with_pair(table: int, rows: tuple) -> tuple:
+        """Rows of a factor; the class factor has one more for the previous symbol and the one before together."""
+        if table:
+            return rows
+        one, two = rows[0].astype(np.int64), rows[1].astype(np.int64) - SYMBOLS
+        return *rows, SYMBOLS * 2 + ((one * 2_654_435_761 + two * 40_503 * 65_537) >> 7) % PAIR_ROWS
+
     def raised(self, table: int, rows: tuple, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits, their exponentials, sums of these)."""
+        rows = self.with_pair(table, rows)
         logits = self.tables[table][rows[0]]
         for r in rows[1:]:
             logits += self.tables[table][r]
@@ -173,7 +182,8 @@ class Model:
                 row = ((s.one[at] * CLASSES + s.kind[at]) * 2_654_435_761 >> 9) % WORD_ROWS
                 order = np.argsort(row.astype(np.uint16), kind="stable")
                 at = at[order]
-                yield 1, (row[order],), self.vocabulary.word_bias[s.kind[at]], s.rank[at] % MEMBERS, at
+                skip = WORD_ROWS + ((s.two[at] * CLASSES + s.kind[at]) * 2_246_822_519 >> 9) % WORD_ROWS
+                yield 1, (row[order], skip), self.vocabulary.word_bias[s.kind[at]], s.rank[at] % MEMBERS, at
 
     def log_probs(self, s: Stream) -> np.ndarray:
         """Natural log of P(class | history), times P(word | class, history) for modelled words."""
@@ -190,12 +200,13 @@ class Model:
             g /= total[:, None]
             g[np.arange(len(target)), target] -= 1
             weights, squares, count = self.tables[table], gathered[table], seen[table]
-            for i, r in enumerate(rows):
+            for i, r in enumerate(self.with_pair(table, rows)):
+                of = g
                 if i:
                     order = np.argsort(r.astype(np.uint16), kind="stable")
-                    r, g = r[order], g[order]
+                    r, of = r[order], g[order]
                 first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                sums, hit = np.add.reduceat(g, first, axis=0), r[first]
+                sums, hit = np.add.reduceat(of, first, axis=0), r[first]
                 squares[hit] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
                 weights[hit] -= (rate / np.sqrt(squares[hit] + 1e-3))[:, None] * sums
                 count[hit] += np.diff(np.append(first, len(r)))
