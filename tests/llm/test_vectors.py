@@ -83,3 +83,22 @@ def test_nearest(spark, chunk):
     assert hits / total >= 0.9
     assert curves.nearest(table(spark, [])).count() == 0
     assert {r.vec_id for r in curves.nearest(table(spark, rows[:3] + [(20, rows[5][1], 1)])).collect()} <= {0, 1, 2, 20}
+
+
+def by_query(got):
+    out = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [8, 32_768])
+def test_repeated_ids_take_one_place(spark, chunk):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8), 0) for i in range(60)]
+    want = by_query(curves.nearest(table(spark, rows), chunk=chunk).collect())
+    near = rows[next(i for i in want[0] if i % 20)]  # its last row is the nearest
+    repeated = rows * 3 + [(near[0], near[1] * (1 - 0.001 * j), 0) for j in range(30)]
+    assert by_query(curves.nearest(table(spark, repeated), chunk=chunk, curves=4, segments=1).collect()) == by_query(
+        curves.nearest(table(spark, rows), chunk=chunk, curves=4, segments=1).collect())
+    assert all(len(v) == len(set(v)) == 20 for v in want.values())

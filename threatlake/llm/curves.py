@@ -89,7 +89,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     id counts once, by its nearest row, and a query asks once for each different row of its id. The sample (lowest id hashes)
     only places projections and segment bounds; every row is indexed.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).distinct()
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     lengths = [len(r.v) for r in drawn]
     width = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
@@ -134,7 +134,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                     held.append(all_v[a:b])
                 elif ids:
                     if sealed is None:
-                        sealed = np.concatenate(ids), np.concatenate(held)
+                        of = np.concatenate(ids)
+                        order = np.argsort(of, kind="stable")
+                        sealed = of[order], np.concatenate(held)[order]
                     for s in range(a, b, 256):
                         out.append(_best(all_ids[s : min(s + 256, b)], all_v[s : min(s + 256, b)], *sealed, k))
             if out:
@@ -147,13 +149,21 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
 
 
 def _best(query_ids, queries, ids, vectors, k):
-    """Candidates of each query that may be among its k nearest of this chunk, with scores summed row by row, alike for equal vectors."""
+    """Rows of each query that may be among its k nearest ids of this chunk, the best row of each id, with scores summed row by row,
+    alike for equal vectors. ``ids`` are in order."""
     rough = queries @ vectors.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    n = rough.shape[1]
-    cut = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
+    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    by_id = rough if len(begin) == len(ids) else np.maximum.reduceat(rough, begin, axis=1)
+    n = by_id.shape[1]
+    cut = np.partition(by_id, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
     row, column = np.nonzero((rough >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]) & np.isfinite(rough))
     exact = (queries[row] * vectors[column]).sum(axis=1)
+    if len(begin) < len(ids):
+        order = np.lexsort((-exact, ids[column], row))
+        row, column, exact = row[order], column[order], exact[order]
+        best = np.append(True, (row[1:] != row[:-1]) | (ids[column[1:]] != ids[column[:-1]]))[: len(row)]
+        row, column, exact = row[best], column[best], exact[best]
     order = np.lexsort((ids[column], -exact, row))
     row, column, exact = row[order], column[order], exact[order]
     first = np.searchsorted(row, row)
