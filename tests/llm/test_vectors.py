@@ -102,3 +102,23 @@ def test_repeated_ids_take_one_place(spark, chunk):
     assert by_query(curves.nearest(table(spark, repeated), chunk=chunk, curves=4, segments=1).collect()) == by_query(
         curves.nearest(table(spark, rows), chunk=chunk, curves=4, segments=1).collect())
     assert all(len(v) == len(set(v)) == 20 for v in want.values())
+
+
+@pytest.mark.parametrize("n", [2, 5, 16, 17, 20, 21, 32, 45])
+def test_small_tables_give_all_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    got = by_query(curves.nearest(table(spark, [(i, rng.normal(size=8), 0) for i in range(n)])).collect())
+    assert {q: len(v) for q, v in got.items()} == {q: min(20, n - 1) for q in range(0, n, 20)}
+    if n <= 21:
+        assert all(set(v) == set(range(n)) - {q} for q, v in got.items())
+
+
+def test_equal_vectors_fill_no_segment_alone(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=8)
+    rows = [(i, hot if i % 3 == 1 else rng.normal(size=8), 0) for i in range(900)]
+    orderings = curves.Orderings(np.array([v for _, v, _ in rows]))
+    taken = orderings.segments(np.array([v for _, v, _ in rows]))
+    assert all(set(taken[:, c]) == set(range(len(orderings.bounds[c]) + 1)) for c in range(curves.CURVES))
+    assert curves.windows({0: 3, 1: 2, 4: 100, 7: 1}, 21) == {0: (0, 4), 1: (0, 4), 4: (1, 7), 7: (4, 7)}
+    assert curves.windows({0: 3, 1: 2, 2: 1}, 21) == {0: (0, 2), 1: (0, 2), 2: (0, 2)}

@@ -61,7 +61,8 @@ class Orderings:
         self.scale = placed.std(axis=1) + 1e-12
         self.shift = rng.uniform(-0.25, 0.25, (curves, dims))
         keys = np.sort(self.keys(sample), axis=0) if len(sample) else np.zeros((1, curves), np.int64)
-        self.bounds = keys[(np.arange(1, segments) * len(keys)) // segments].T
+        bounds = keys[(np.arange(1, segments) * len(keys)) // segments].T
+        self.bounds = [np.unique(b[b > low]) for b, low in zip(bounds, keys[0], strict=True)]
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """(vectors, curves)."""
@@ -77,12 +78,29 @@ class Orderings:
         return np.stack([np.searchsorted(self.bounds[i], keys[:, i], side="right") for i in range(self.curves)], axis=1)
 
 
+def windows(held: dict[int, int], least: int) -> dict[int, tuple[int, int]]:
+    """(first, last) segment to look through from each segment: itself and one on both sides, and more of them, the emptier side
+    first, until ``least`` ids are held or the whole ordering. ``held`` has the ids of each segment that has rows."""
+    segs, out = sorted(held), {}
+    total = np.concatenate([[0], np.cumsum([held[s] for s in segs])])
+    for i, seg in enumerate(segs):
+        a, b = max(i - 1, 0), min(i + 2, len(segs))
+        while total[b] - total[a] < least and (a or b < len(segs)):
+            if b == len(segs) or (a and total[i] - total[a] <= total[b] - total[i + 1]):
+                a -= 1
+            else:
+                b += 1
+        out[seg] = segs[a], segs[b - 1]
+    return out
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", curves: int = CURVES,
             dims: int = DIMS, depth: int = DEPTH, segments: int = SEGMENTS, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each row whose id is divisible by ``every``.
 
-    Each ordering is range-partitioned into segments of equal share of the sample; a query looks through its own and
-    the two neighbouring segments of every ordering, so its window is a fixed share of the table. Candidates are ranked by the
+    Each ordering is range-partitioned into segments of equal share of the sample, of ``k`` sampled rows at least; a query looks through its
+    own and the two neighbouring segments of every ordering, so its window is a fixed share of the table, and through further ones until
+    ``k`` other ids are in sight or the whole ordering is. Candidates are ranked by the
     double-precision inner product of the original vectors, ties to the smaller id; all candidates of a query that ties reach
     are compared. Segments are cut into chunks, so a task holds a bounded number of candidates. Vectors that are null, empty,
     zero or not finite, and null ids, take no part; vectors of another length than most of the sample do not either. A repeated
@@ -93,7 +111,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     lengths = [len(r.v) for r in drawn]
     width = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
-    orderings = Orderings(np.array([r.v for r in drawn if len(r.v) == width], np.float64).reshape(-1, width), curves, dims, depth, segments)
+    orderings = Orderings(np.array([r.v for r in drawn if len(r.v) == width], np.float64).reshape(-1, width), curves, dims, depth, max(1, min(segments, len(drawn) // k)))
     shared = vectors.sparkSession.sparkContext.broadcast(orderings)
     rows = rows.where(F.size("v") == width)
 
@@ -110,7 +128,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     base = one.join(sizes, ["curve", "seg"]).select("curve", "seg", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"),
                                                     F.lit(False).alias("query"), "id", "v")
     asked = placed.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", F.posexplode("seg").alias("curve", "own"))
-    asked = asked.select("id", "v", "curve", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("seg")).join(sizes, ["curve", "seg"])
+    # an id with rows in several segments counts in the first of them, so no window is taken for fuller than it is
+    owned = one.groupBy("curve", "id").agg(F.min("seg").alias("seg")).groupBy("curve", "seg").agg(F.count("*").alias("n"))
+    held: dict[int, dict[int, int]] = {}
+    for r in sizes.join(owned, ["curve", "seg"], "left").select("curve", "seg", F.coalesce("n", F.lit(0)).alias("n")).collect():
+        held.setdefault(r.curve, {})[r.seg] = r.n
+    seen = [(c, own, *map(int, ends)) for c, h in held.items() for own, ends in windows(h, k + 1).items()]
+    seen = vectors.sparkSession.createDataFrame(seen, "curve int, own int, low int, high int")
+    asked = asked.join(seen, ["curve", "own"]).select("id", "v", "curve", F.explode(F.sequence("low", "high")).alias("seg")).join(sizes, ["curve", "seg"])
     asked = asked.select("curve", "seg", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "id", "v")
     dealt = base.union(asked).repartition("curve", "seg", "part").sortWithinPartitions("curve", "seg", "part", "query")
 
