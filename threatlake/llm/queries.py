@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.llm import bpe, cosine, counts, curves, maxent, mixing, quality, simhash, toxicity, urls
+from threatlake.llm import bpe, cosine, counts, curves, infill, maxent, mixing, quality, simhash, toxicity, urls
 from threatlake.llm.text import remainder
 
 
@@ -63,7 +63,14 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.score(_table(spark, folder, "documents"))
 
 
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, folder, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_simhash, op3_embedding_dedup, op4_bpe, op5_nearest, op6_urls, op7_toxicity, op8_token_counts, op9_mixing,
-                            op10_language_model)}
-SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
+                            op10_language_model, op11_infill)}
+SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op11_infill": infill.SQL}
