@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.llm import bpe, cosine, counts, curves, infill, maxent, mixing, quality, simhash, toxicity, urls
+from threatlake.llm import bpe, cosine, counts, curves, infill, maxent, mixing, quality, simhash, toxicity, urls, whitening
 from threatlake.llm.text import remainder
 
 
@@ -70,7 +70,11 @@ def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_simhash, op3_embedding_dedup, op4_bpe, op5_nearest, op6_urls, op7_toxicity, op8_token_counts, op9_mixing,
-                            op10_language_model, op11_infill)}
+                            op10_language_model, op11_infill, op12_whitening)}
 SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op11_infill": infill.SQL}
