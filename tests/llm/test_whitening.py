@@ -29,8 +29,11 @@ def test_updates_equal_a_dense_decomposition(name):
         spectrum.add(row)
         (first if i % 3 else rest).add(row)
     first.merge(rest)
+    blocks = Spectrum(x.shape[1])
+    blocks.add_rows(x[: len(x) // 2])
+    blocks.add_rows(x[len(x) // 2 :])
     want, scale = scatter(x), max(np.abs(scatter(x)).max(), 1.0)
-    for s in (spectrum, first):
+    for s in (spectrum, first, blocks):
         assert s.n == len(x) and np.allclose(s.mean, x.mean(axis=0)) and np.all(np.diff(s.values) >= 0)
         assert np.abs(s.vectors * s.values @ s.vectors.T - want).max() < 1e-10 * scale
         assert np.abs(s.vectors.T @ s.vectors - np.eye(x.shape[1])).max() < 1e-10

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 EPS = np.finfo(np.float64).eps
+#: Rows of a block.
+BLOCK = 1024
 
 
 def secular_roots(poles: np.ndarray, squares: np.ndarray, rho: float, steps: int = 80, close: float = 1e-8) -> np.ndarray:
@@ -132,6 +134,20 @@ class Spectrum:
         self.mean = self.mean + step / self.n
         self.values, self.vectors = rank_one(self.values, self.vectors, step, (self.n - 1) / self.n)
 
+    def add_rows(self, rows: np.ndarray) -> None:
+        """Adds many rows. The triangular factor of a centred block has the same outer products in as many rows as there are columns, so
+        a block of more rows than columns costs that many updates, and one for the distance of its mean."""
+        for start in range(0, len(rows), BLOCK):
+            block = rows[start : start + BLOCK]
+            if len(block) <= self.size:
+                for row in block:
+                    self.add(row)
+                continue
+            mean = block.mean(axis=0)
+            for row in np.linalg.qr(block - mean, mode="r"):
+                self.values, self.vectors = rank_one(self.values, self.vectors, row)
+            self._shift(mean, len(block))
+
     def merge(self, other: Spectrum) -> None:
         """Takes up another spectrum: one update for each of its eigenvectors, and one for the distance of both means."""
         if not other.n:
@@ -139,6 +155,9 @@ class Spectrum:
         for value, vector in zip(other.values, other.vectors.T, strict=True):
             if value > 0:
                 self.values, self.vectors = rank_one(self.values, self.vectors, vector, value)
-        step, n = other.mean - self.mean, self.n + other.n
-        self.values, self.vectors = rank_one(self.values, self.vectors, step, self.n * other.n / n)
-        self.mean, self.n = self.mean + step * (other.n / n), n
+        self._shift(other.mean, other.n)
+
+    def _shift(self, mean: np.ndarray, count: int) -> None:
+        step, n = mean - self.mean, self.n + count
+        self.values, self.vectors = rank_one(self.values, self.vectors, step, self.n * count / n)
+        self.mean, self.n = self.mean + step * (count / n), n

@@ -101,8 +101,8 @@ class Whitening:
 def fit(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS) -> Whitening | None:
     """Fits the components to the different stepped vectors, each once; None where no vector is left.
 
-    Every partition takes its vectors one by one into a spectrum of their centred outer products (rank-one updates), spectra meet in
-    a tree, and one more pass over all vectors solves the eigenproblem anew in the basis found so far (Rayleigh-Ritz), centred by the
+    Every partition takes its vectors into a spectrum of their centred outer products by rank-one updates, spectra meet in a tree,
+    and one more pass over all vectors solves the eigenproblem anew in the basis found so far (Rayleigh-Ritz), centred by the
     exact means. The last pass measures the whitened covariance. A state has the size of the covariance matrix, whatever the rows.
     """
     stepped = whole_vectors(rows, vec_id, vector)
@@ -123,8 +123,7 @@ def fit(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", comp
                 base = x[0].astype(np.float64)
             for i, s in enumerate((x.sum(axis=0) if float(np.abs(x).max()) * len(x) < 2**62 else x.astype(object).sum(axis=0)).tolist()):
                 sums[i] += int(s)
-            for row in x.astype(np.float64) - base:
-                spectrum.add(row)
+            spectrum.add_rows(x.astype(np.float64) - base)
 
         def result():
             spectrum.mean = spectrum.mean + base
