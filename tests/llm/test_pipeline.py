@@ -71,5 +71,5 @@ def test_run_equals_the_stages(spark, sf_dir, steps):
 
 def test_registered_names():
     assert list(queries.QUERIES) == ["op1_quality", "op2_simhash", "op3_embedding_dedup", "op4_bpe", "op5_nearest", "op6_urls", "op7_toxicity",
-                                     "op8_token_counts", "op9_mixing", "op10_language_model", "op11_infill", "op12_whitening"]
+                                     "op8_token_counts", "op9_mixing", "op10_language_model", "op11_infill", "op12_whitening", "op13_identifiers"]
     assert set(queries.SQL) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5

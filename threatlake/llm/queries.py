@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.llm import bpe, cosine, counts, curves, infill, maxent, mixing, quality, simhash, toxicity, urls, whitening
+from threatlake.llm import bpe, cosine, counts, curves, identifiers, infill, maxent, mixing, quality, simhash, toxicity, urls, whitening
 from threatlake.llm.text import remainder
 
 
@@ -74,7 +74,12 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
 
+def op13_identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    found = identifiers.personal_data(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_simhash, op3_embedding_dedup, op4_bpe, op5_nearest, op6_urls, op7_toxicity, op8_token_counts, op9_mixing,
-                            op10_language_model, op11_infill, op12_whitening)}
+                            op10_language_model, op11_infill, op12_whitening, op13_identifiers)}
 SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op11_infill": infill.SQL}
