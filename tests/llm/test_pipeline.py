@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_mixing import plain_mix
-from tests.llm.test_simhash import groups, plain_print
+from tests.llm.test_shingles import plain_groups
 from threatlake.llm import queries
 
 
@@ -41,7 +41,7 @@ def test_filters_keep_good_documents(spark, sf_dir):
 
 def test_one_document_of_each_group(steps):
     before, columns, after = steps["near_duplicates"]
-    root = groups([plain_print(r.text) for r in before])
+    root = plain_groups([r.text for r in before])
     first = {}
     for r, g in zip(before, root, strict=True):
         first[g] = min(first.get(g, r.doc_id), r.doc_id)
@@ -69,6 +69,22 @@ def test_run_equals_the_stages(spark, sf_dir, steps):
     assert sorted(map(tuple, rows)) == sorted((r.doc_id, r.n_tokens) for r in steps["bpe"][2])
 
 
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, a very long text, a column of a clashing name: all stages end, with rows of the first table."""
+    texts = [None, "", "  \t", "word " * 30_000, "one two three", "one two three"]
+    rows = [(i % 5 if i % 7 else None, texts[i % 6] if i % 2 else f"{i} some words of text {i * i} and more of them {i}", "en", None if i % 3 else "a", 5, 0.5) for i in range(60)]
+    docs = "doc_id long, text string, lang string, source string, n_chars int, score double"
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(rows, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {0, 1, 2, 3, 4, None}
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_registered_names():
     assert list(queries.QUERIES) == ["op1_quality", "op2_simhash", "op3_embedding_dedup", "op4_bpe", "op5_nearest", "op6_urls", "op7_toxicity",
                                      "op8_token_counts", "op9_mixing", "op10_language_model", "op11_infill", "op12_whitening", "op13_identifiers"]

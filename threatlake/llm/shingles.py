@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, exact set sizes decide, components group."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands propose, exact set sizes decide."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threatlake.llm import simhash
 from threatlake.llm.components import connected_components
 from threatlake.llm.storage import cut_lineage, kept
 from threatlake.llm.text import map_rows, text_bytes, words
 
-#: Bands and MinHash values of a band: a pair at similarity 0.8 shares no band with probability 2.7e-5. Shingles of a part of a band's group.
+#: Bands and MinHash values of a band: a pair at similarity 0.8 shares no band with probability 2.7e-5. Shingles of a place.
 BANDS, WIDTH, PART = 20, 4, 1 << 21
 _RNG = np.random.default_rng(42)
 _FLIP = _RNG.integers(0, 1 << 63, BANDS * WIDTH, np.uint64)
@@ -44,64 +45,94 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * total
 
 
-def set_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join exactly the sets of similarity 0.8 or more; a set is compared with each group until a member is alike."""
-    groups, links = [], []
-    for i in range(len(sets)):
-        mine = [i]
-        apart = []
-        for group in groups:
-            near = next((j for j in group if alike(sets[i], sets[j])), None)
-            if near is None:
-                apart.append(group)
-            else:
-                links.append((ids[i], ids[near]))
-                mine = group + mine
-        groups = [*apart, mine]
+def set_links(ids: list[int], sets: list[np.ndarray], keys: list[list[int]]) -> list[tuple[int, int]]:
+    """Links that join exactly the sets that share a key and have a similarity of 0.8 or more, over others if need be.
+
+    Members of a key are held by group, so a set that is linked to a group passes over its other members."""
+    up, links, members = list(range(len(ids))), [], {}
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in range(len(ids)):
+        tested = set()
+        for key in keys[i]:
+            for group, rows in members.get(key, {}).items():
+                if root(group) == root(i):
+                    continue
+                for j in rows:
+                    if j not in tested and alike(sets[i], sets[j]):
+                        links.append((ids[i], ids[j]))
+                        up[root(i)] = root(j)
+                        break
+                    tested.add(j)
+        for key in keys[i]:
+            members.setdefault(key, {}).setdefault(root(i), []).append(i)
     return links
 
 
-def similar_links(docs: DataFrame, marks: DataFrame, size: int = 5, part: int = PART) -> DataFrame:
-    """(a, b): links between rows of ``marks`` (row, n, bands) whose texts in ``docs`` (row, text) are alike.
+def _places(marks: DataFrame, part: int) -> DataFrame:
+    """(row, keys, key, p, q): where each row of ``marks`` (row, n, keys) that shares a key with another one is compared.
 
-    Shingle sets travel only for texts that share a band with another one. The group of a band is dealt in parts of bounded total
-    size, and each pair of parts meets once, so a task holds two parts at a time and no pair of a group is left out.
+    Rows that hang together by keys are one cluster, and a cluster is one place, so a set travels once. A cluster of more than ``part``
+    shingles meets by its keys instead: keys with the same rows once, each dealt in parts, so that each pair of parts is one place.
     """
-    keys = marks.select("row", "n", F.explode("bands").alias("key"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).where("rows > 1")
-    parts = F.least(F.ceil(F.col("n") / part), F.col("rows")).cast("int")
-    shared = cut_lineage(keys.drop("n").join(groups.select("key", parts.alias("parts")), "key"))
-    texts = docs.join(shared.select("row").distinct(), "row", "left_semi")
+    keys = marks.select("row", "n", F.explode("keys").alias("key"))
+    rows_of = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    groups = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.min("row").alias("low"), *rows_of).where("rows > 1"))
+    shared = cut_lineage(keys.select("row", "key").join(groups.select("key", "low"), "key"))
+    clusters = connected_components(shared.select("row", "low"), "row", "low").withColumnRenamed("node", "row")
+    clusters = cut_lineage(clusters.join(marks, "row"))
+    sizes = clusters.groupBy("component").agg(F.sum("n").alias("size"))
+    sized = clusters.join(sizes, "component")
+    whole = sized.where(F.col("size") <= part).select("row", "keys", F.col("component").alias("key"), F.lit(0).alias("p"), F.lit(0).alias("q"))
+    large = sized.where(F.col("size") > part).select("row", "keys")
+    parts = F.least(F.ceil(F.col("size") / part), F.col("rows")).cast("int")
+    once = groups.groupBy("rows", "low", "x", "y").agg(F.min("key").alias("key"), F.max("size").alias("size")).select("key", parts.alias("parts"))
+    met = shared.select("row", "key").join(large, "row").join(once, "key")
+    dealt = met.withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return whole.unionByName(dealt.select("row", "keys", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")))
 
-    def make():
-        return lambda batch: {"values": [shingles(t, size).tobytes() for t in batch["text"]]}
 
-    sets = map_rows(texts.select("row", text_bytes("text").alias("text")), {"values": "binary"}, ["row"], make)
-    own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    pairs = shared.withColumn("own", own).select("row", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pairs = pairs.select("row", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    dealt = pairs.join(sets, "row").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "row").select("key", "p", "q", "row", "values")
+def similar_links(docs: DataFrame, marks: DataFrame, size: int = 5, part: int = PART) -> DataFrame:
+    """(a, b): links between rows of ``marks`` (row, n, keys) that share a key and whose texts in ``docs`` (row, text) are alike.
+
+    Only texts that share a key with another one travel; a task holds the sets of one place at a time, two parts at most.
+    """
+    dealt = _places(marks, part).join(docs, "row").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "row").select("key", "p", "q", "row", "keys", "text")
 
     def run(batches):
-        last, ids, sets = None, [], []
+        last, held = None, ([], [], [])
 
         def rows(found):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            out = []
-            for key, p, q, row, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, p, q) != last:
-                    out += set_links(ids, sets)
-                    last, ids, sets = (key, p, q), [], []
-                ids.append(row)
-                sets.append(np.frombuffer(values, np.uint64))
-            yield rows(out)
-        yield rows(set_links(ids, sets))
+        for whole in batches:
+            for start in range(0, len(whole), 256):
+                out = []
+                for key, p, q, row, keys, text in zip(*(c.to_pylist() for c in whole.slice(start, 256).columns), strict=True):
+                    if (key, p, q) != last:
+                        out += set_links(*held)
+                        last, held = (key, p, q), ([], [], [])
+                    for column, value in zip(held, (row, shingles(text, size), keys), strict=True):
+                        column.append(value)
+                yield rows(out)
+        yield rows(set_links(*held))
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _keyed(marks: DataFrame) -> DataFrame:
+    """(row, n, keys): the bands of a row and the group of fingerprints, within two bits over others, that its own belongs to."""
+    prints = marks.select("fp").distinct()
+    groups = connected_components(simhash.fingerprint_links(prints), "a", "b").withColumnRenamed("node", "fp")
+    group = F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp"))
+    return marks.join(groups, "fp", "left").select("row", "n", F.when(F.col("n") > 0, F.concat("bands", F.array(group))).otherwise(F.col("bands")).alias("keys"))
+
+
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, part: int = PART) -> DataFrame:
     """One row of each group of texts linked by a Jaccard similarity of 0.8 or more of their word shingles, over others if need be.
 
@@ -114,15 +145,16 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     def make():
         def work(batch):
             sets = [shingles(t, size) for t in batch["text"]]
-            return {"same": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]}
+            prints = np.array([simhash.fingerprint(t, size) for t in batch["text"]], np.uint64).view(np.int64)
+            return {"same": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) for s in sets], "fp": prints}
         return work
 
-    marks = kept(map_rows(rows, {"same": "binary", "n": "bigint", "bands": "array<bigint>"}, ["row", "id"], make), "marks")
+    marks = kept(map_rows(rows, {"same": "binary", "n": "bigint", "bands": "array<bigint>", "fp": "bigint"}, ["row", "id"], make), "marks")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     # equal sets have equal bands; the row that stands for them is chosen by narrow columns first
     first = cut_lineage(marks.groupBy("same").agg(F.min(order).alias("o")).select("o.none", "o.id", "o.row"))
-    links = similar_links(rows.select("row", "text"), marks.select("row", "n", "bands").join(first.select("row"), "row", "left_semi"), size, part)
-    groups = connected_components(links, "a", "b").withColumnRenamed("node", "row")
+    keyed = cut_lineage(_keyed(cut_lineage(marks.select("row", "n", "bands", "fp").join(first.select("row"), "row", "left_semi"))))
+    groups = connected_components(similar_links(rows.select("row", "text"), keyed, size, part), "a", "b").withColumnRenamed("node", "row")
     placed = first.join(groups, "row", "left").withColumn("component", F.coalesce("component", "row"))
     chosen = placed.groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.row").alias("__row"))
     return stored.join(chosen, "__row", "left_semi").drop("__row")
