@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threatlake.llm.storage import cut_lineage
 
 
+def _stored(edges: DataFrame, edges_a_task: int | None) -> DataFrame:
+    """Cuts lineage; with ``edges_a_task`` the edges are read in as many tasks as their number asks for, not in one per shuffle partition."""
+    if not edges_a_task:
+        return cut_lineage(edges)
+    seen = Observation()
+    stored = cut_lineage(edges.observe(seen, F.count("*").alias("n")))
+    return stored.coalesce(seen.get["n"] // edges_a_task + 1)
+
+
 def _tangled(edges: DataFrame) -> bool:
     """True while some node hangs on two nodes, or on a node that itself hangs on another."""
     ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
@@ -16,7 +25,7 @@ def _tangled(edges: DataFrame) -> bool:
     return not nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, edges_a_task: int | None = None) -> DataFrame:
     """(node, component) for every node with a link to another; component is the smallest node reachable.
 
     Links may come in either direction and repeat; links to oneself and links with a null end are ignored. No table
@@ -25,7 +34,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    e = cut_lineage(e)
+    e = _stored(e, edges_a_task)
     for _ in range(rounds):
         if not _tangled(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -37,5 +46,5 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         # a node and its smaller neighbours hang on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.union(low.select("u", "m")).distinct())
+        e = _stored(small.union(low.select("u", "m")).distinct(), edges_a_task)
     raise RuntimeError(f"components not settled after {rounds} rounds")
