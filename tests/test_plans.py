@@ -56,6 +56,34 @@ def test_top_alerts_keep_only_the_first_rows_per_task(data):
     assert "TakeOrderedAndProject" in plan(R.top_alerts(data.fact, data.asset))
 
 
+def above(text, upper, lower):
+    """Whether an operator stands above another one in a plan (its line comes first and the other one is below it)."""
+    lines = text.splitlines()
+    first = next(i for i, x in enumerate(lines) if upper in x)
+    return any(lower in x for x in lines[first + 1 :])
+
+
+def test_sample_is_cut_below_the_shuffle_of_its_rows(data):
+    """Few strata: the list of buckets is proved small, so rows are cut where they are read; no map of strata in the plan."""
+    text = plan(SA.stratified_sample(data.events, ["event_type"], ["event_id"], 10))
+    assert above(text, "Exchange hashpartitioning(event_type", "BroadcastHashJoin") and "map_from_entries" not in text and "element_at" not in text
+
+
+def test_sample_of_many_strata_is_cut_by_a_shuffled_join(spark, data, monkeypatch):
+    from threatlake.operators import ordering
+
+    monkeypatch.setattr(ordering, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ordering.broadcast_if_small, "__defaults__", (0,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = SA.stratified_sample(data.events, ["user_id"], ["event_id"], 1)
+        text = plan(df)
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+        assert df.groupBy("user_id").count().where("count != 1").isEmpty() and df.count() == data.events.select("user_id").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sample_windows_run_inside_hash_buckets(data):
     text = plan(SA.stratified_sample(data.events, ["event_type"], ["event_id"], 10))
     assert "hashpartitioning(event_type" in text and "_bucket" in text

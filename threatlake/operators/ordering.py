@@ -31,6 +31,18 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(other, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+#: Bytes up to which a measured table is sent to every task.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame, texts: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The stored frame, marked for a broadcast if its rows, counted, and the longest values of ``texts`` prove it small."""
+    stored = cut_lineage(df)
+    width = sum((F.coalesce(F.max(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in texts), F.lit(16 * len(df.columns)))
+    size = stored.agg((F.count("*") * width).alias("bytes")).first()["bytes"]
+    return F.broadcast(stored) if size <= limit else stored
+
+
 def rank_by_hash(
     df: DataFrame, keys: list[str], order: Column, out: str = "rn", first: int | None = None, digits: int = 4,
 ) -> DataFrame:
@@ -38,8 +50,8 @@ def rank_by_hash(
 
     16**digits buckets per group keep the window partitions small even when one group
     holds most rows. Adds ``out`` (1-based) and ``_size``, the number of rows of the group.
-    With ``first`` only the first rows of every group are wanted: the last bucket needed by each
-    group, one map entry per group, filters the rows where they are read, before any shuffle of them.
+    With ``first`` only the first rows of every group are wanted: just the buckets in which they lie are kept, and
+    the join with these cuts the rows where they are read while that list is small, else by a shuffle on its keys.
     """
     hashed = df.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, digits))
     totals = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -49,11 +61,7 @@ def rank_by_hash(
     )
     offsets = totals.select(*keys, "_bucket", before.alias("_before"), F.sum("_n").over(per_group).alias("_size"))
     if first is not None:
-        offsets = offsets.filter(F.col("_before") < first)
-        group_of = F.struct(F.lit(0).alias("_any"), *keys)
-        ends = offsets.groupBy(*keys).agg(F.max("_bucket").alias("_last"))
-        last = ends.agg(F.map_from_entries(F.collect_list(F.struct(group_of.alias("g"), "_last")))).scalar()
-        hashed = hashed.filter(F.col("_bucket") <= F.element_at(last, group_of))
+        offsets = broadcast_if_small(offsets.filter(F.col("_before") < first), [*keys, "_bucket"])
     placed = join_on(hashed, offsets, [*keys, "_bucket"])
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_order"))
     ranked = placed.withColumn(out, F.col("_before") + inside)
