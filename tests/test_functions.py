@@ -93,11 +93,30 @@ def test_ipv4_classes_agree_with_standard_library(spark):
     assert one(spark, texts, "string", N.ipv4_class) == [expected(t) for t in texts]
 
 
-def test_ipv6_lookup(spark):
-    df = spark.createDataFrame([("::1",), ("fe80::1",), ("2606:4700::1",), ("ff02::1",), ("8.8.8.8",), ("zz::1",), (None,)], "ip string")
-    got = {r["ip"]: r["c"] for r in N.with_address_class(df, "ip", "c").collect()}
-    assert got == {"::1": "internal", "fe80::1": "internal", "2606:4700::1": "external", "ff02::1": "special", "8.8.8.8": "external",
-                   "zz::1": "invalid", None: "invalid"}
+def test_ipv6_classes_and_digits(spark):
+    """Against the standard library: each network's ends and their neighbours, written short, long and with a dotted tail, and odd texts."""
+    import ipaddress
+
+    ends = [int(e) for n, _ in N.V6_NETWORKS for net in [ipaddress.IPv6Network(n)] for e in (net.network_address, net.broadcast_address)]
+    ends += [0xFFFF_0000_0000 + int(ipaddress.ip_address(a)) for a in ("8.8.8.8", "10.0.0.1", "224.0.0.1", "255.255.255.255", "169.254.1.1")]
+    whole = [ipaddress.IPv6Address(min(max(e + d, 0), (1 << 128) - 1)) for e in ends for d in (-1, 0, 1)]
+    texts = [f(a) for a in whole for f in (str, lambda a: a.exploded.upper(), lambda a: ":".join(f"{int(a) >> 16 * i & 0xFFFF:x}" for i in range(7, -1, -1)))]
+    texts += [":".join(f"{int(a) >> 16 * i & 0xFFFF:x}" for i in range(7, 1, -1)) + f":{ipaddress.IPv4Address(int(a) & 0xFFFFFFFF)}" for a in whole]
+    odd = ["::", ":", ":::", "1::2::3", "::1%eth0", "::1%", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "12345::", "g::",
+           "1::1.2.3.256", "1::1.2.3", "1.2.3.4::", "::1.2.3.4:5", ":1:2:3:4:5:6:7:8", " ::1", "1:2:3:4:5:6:7:1.2.3.4", "zz::1", "::01.2.3.4"]
+
+    def expected(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return "invalid", None
+        inside = ip.ipv4_mapped or ip
+        named = "internal" if ip.is_private else "special" if inside.is_loopback or inside.is_link_local or inside.is_multicast or inside.is_reserved else "external"
+        return named, f"{int(ip):032x}"
+
+    assert one(spark, texts + odd, "string", N.address_class) == [expected(t)[0] for t in texts + odd]
+    assert one(spark, texts + odd, "string", N.ipv6_digits) == [expected(t)[1] for t in texts + odd]
+    assert one(spark, ["8.8.8.8", None, "x"], "string", N.address_class) == ["external", "invalid", "invalid"]
 
 
 def test_ports(spark):

@@ -186,3 +186,23 @@ def test_calendar_and_clock(spark):
     assert clock.count() == 1440
     parts = {r["day_part"]: r["n"] for r in clock.groupBy("day_part").agg(F.count("*").alias("n")).collect()}
     assert parts == {"late_night": 300, "early_morning": 180, "morning": 240, "afternoon": 300, "evening": 180, "night": 240}
+
+
+def test_geo_join_cuts_ranges_of_both_families(spark):
+    from ipaddress import ip_address
+
+    from threatlake.operators import joins
+
+    nets = [("A", "2001:0::5", "2001:1:2::"), ("B", "2001:1:3::", "2001:1:3:ffff:ffff:ffff:ffff:ffff"), ("C", "8000::", "ffff::"), ("D", "::7", "::7")]
+    rows = [(n, None, None, a, b) for n, a, b in nets] + [("E", 16, 31, None, None)]
+    ranges = spark.createDataFrame(rows, "country_iso string, ip_from long, ip_to long, ip6_from string, ip6_to string")
+    points = [str(ip_address(int(ip_address(x)) + d)) for _, *ends in nets for x in ends for d in (-1, 0, 1)] + ["0.0.0.16", "0.0.0.32", "no", None, "2001:1::9", "::6"]
+    got = {r.ip: r.country_iso for r in joins.geo_join(spark.createDataFrame([(p,) for p in points], "ip string"), ranges).collect()}
+
+    def want(p):
+        if p == "0.0.0.16":
+            return "E"
+        inside = [n for n, a, b in nets if p and ":" in p and ip_address(a) <= ip_address(p) <= ip_address(b)]
+        return inside[0] if inside else None
+
+    assert got == {p: want(p) for p in points} and len(got) == len(set(points))

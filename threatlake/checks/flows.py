@@ -300,6 +300,27 @@ def geo_range_join(d: Data):
     return J.geo_join(D.observed_addresses(d.flow).select("ip"), d.geo)
 
 
+@query("""WITH a AS (SELECT c_custkey, c_nationkey, c_custkey % 7 AS k FROM customer)
+  SELECT c_custkey, CASE WHEN k < 5 THEN n_name END AS country_name, CASE WHEN k = 6 THEN 'invalid' WHEN k = 5 THEN 'internal' ELSE 'external' END AS ip_class
+  FROM a LEFT JOIN nation n ON n.n_nationkey = a.c_nationkey""")
+def geo_range_join_ipv6(d: Data):
+    """Customers' made-up addresses of both families against ranges of both; some lie in no range, some are none."""
+    digit = lambda c: F.lower(F.hex(c))
+    nation, host, k = F.col("c_nationkey"), digit(F.col("c_custkey")), F.col("c_custkey") % 7
+    net = F.concat(F.lit("2a0"), digit(nation % 16), F.lit(":"), digit(nation + 16))
+    ip = (F.when(k == 0, F.concat(net, F.lit(":0:0:0:0:0:"), host)).when(k == 1, F.concat(net, F.lit("::"), host)).when(k == 2, F.concat(F.upper(net), F.lit(":ff:"), host, F.lit("::")))
+          .when(k == 3, F.concat(net, F.lit("::1.2.3."), (F.col("c_custkey") % 256).cast("string"), F.lit("%eth0"))).when(k == 4, F.concat_ws(".", F.lit("60"), nation + 100, F.lit("7"), F.col("c_custkey") % 256))
+          .when(k == 5, F.concat(F.lit("2001:db8::"), host)).otherwise(F.concat(net, F.lit("::1::"), host)))
+    points = d.customer.select("c_custkey", ip.alias("ip"))
+    nets = d.nation.select("n_name", (60 * 16777216 + (F.col("n_nationkey") + 100) * 65536).alias("ip_from"), F.lit(None).cast("string").alias("ip6_from"),
+                           F.lit(None).cast("string").alias("ip6_to")).withColumn("ip_to", F.col("ip_from") + 65535)
+    own = F.concat(F.lit("2a0"), digit(F.col("n_nationkey") % 16), F.lit(":"), digit(F.col("n_nationkey") + 16))
+    nets6 = d.nation.select("n_name", F.lit(None).cast("long").alias("ip_from"), F.lit(None).cast("long").alias("ip_to"), F.concat(own, F.lit("::")).alias("ip6_from"),
+                            F.concat(own, F.lit(":ffff:ffff:ffff:ffff:ffff:ffff")).alias("ip6_to"))
+    found = J.geo_join(points, nets.unionByName(nets6).withColumnRenamed("n_name", "country_name"))
+    return found.select("c_custkey", "country_name", N.address_class(F.col("ip")).alias("ip_class"))
+
+
 @query("""SELECT ips.ip, r.abuse_confidence, CASE WHEN r.abuse_confidence >= 50 THEN 1 ELSE 0 END AS is_known_attacker
   FROM (SELECT DISTINCT dest_ip AS ip FROM fx_flow) ips LEFT JOIN fx_reputation r ON r.ip = ips.ip""")
 def reputation_lookup(d: Data):

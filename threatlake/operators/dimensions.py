@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threatlake import constants as C
-from threatlake.functions.network import ipv4_class
+from threatlake.functions.network import address_class
 from threatlake.functions.numbers import flag, ladder
 from threatlake.functions.times import date_key, monday_one
 from threatlake.operators.ordering import join_on, rank_by_hash
@@ -93,10 +93,10 @@ def upsert(existing: DataFrame, candidates: DataFrame, key: str, natural: list[s
 
 
 def observed_addresses(flows: DataFrame, source: str = "src_ip", target: str = "dest_ip") -> DataFrame:
-    """Distinct addresses of both roles with their class."""
+    """Distinct addresses of both roles and families with their class."""
     both = flows.select(F.col(source).alias("ip")).unionByName(flows.select(F.col(target).alias("ip")))
     addresses = both.filter(F.col("ip").isNotNull()).distinct()
-    return addresses.withColumn("ip_class", ipv4_class(F.col("ip")))
+    return addresses.withColumn("ip_class", address_class(F.col("ip")))
 
 
 def upsert_assets(

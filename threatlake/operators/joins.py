@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threatlake.functions.numbers import percent
-from threatlake.functions.network import ipv4_number
+from threatlake.functions.network import ipv4_number, ipv6_digits
 from threatlake.operators.ordering import largest
 
 
@@ -66,10 +66,42 @@ def range_join(points: DataFrame, ranges: DataFrame, number: str, low: str, high
     return marked.join(pieces, condition, "left").drop("_prefix", "_range_prefix", low, high)
 
 
+def digits_join(points: DataFrame, ranges: DataFrame, digits: str, low: str, high: str) -> DataFrame:
+    """Left join of numbers into ranges, all as hexadecimal text of one length; ranges do not overlap.
+
+    A range that is one block of a shared prefix keeps that prefix as key, any other is cut at its first digit that differs, into 16 pieces
+    at most. A number has one key per prefix length that occurs, so the match is an equi-join with the range as residual. Equal numbers
+    are looked up once.
+    """
+    shared = F.regexp_extract(F.concat_ws("|", low, high), r"^([0-9a-f]*)[0-9a-f]*\|\1", 1)
+    cut = ranges.withColumn("_shared", shared).withColumn("_n", F.length("_shared"))
+    rest = [F.substr(c, F.col("_n") + 1) for c in (F.col(low), F.col(high))]
+    whole = rest[0].rlike("^0*$") & rest[1].rlike("^f*$")
+    first, last = (F.conv(F.left(r, F.lit(1)), 16, 10).cast("int") for r in rest)
+    keys = F.when(whole, F.array("_shared")).otherwise(F.transform(F.sequence(first, last), lambda d: F.concat("_shared", F.lower(F.hex(d)))))
+    pieces = cut.withColumn("_key", F.explode(keys)).drop("_shared", "_n")
+    lengths = [r.n for r in pieces.select(F.length("_key").alias("n")).distinct().collect()]
+    numbers = points.where(F.col(digits).isNotNull()).select(F.col(digits).alias("_digits")).distinct()
+    keyed = numbers.withColumn("_key", F.explode(F.array(*[F.left("_digits", F.lit(n)) for n in lengths]).cast("array<string>")))
+    found = keyed.join(pieces, (keyed["_key"] == pieces["_key"]) & F.col("_digits").between(F.col(low), F.col(high))).drop("_key", low, high)
+    return points.join(found, F.col(digits) == F.col("_digits"), "left").drop("_digits")
+
+
 def geo_join(addresses: DataFrame, ranges: DataFrame, address: str = "ip") -> DataFrame:
-    """Country columns of the network range an address falls into, NULL outside all ranges."""
-    numbered = addresses.withColumn("_number", ipv4_number(F.col(address)))
-    return range_join(numbered, ranges, "_number", "ip_from", "ip_to").drop("_number")
+    """Country columns of the network range an address falls into, NULL outside all ranges.
+
+    IPv4 ranges have numbers ``ip_from`` and ``ip_to``; IPv6 ranges, where the table has them, text ``ip6_from`` and ``ip6_to``.
+    """
+    ends = ["ip6_from", "ip6_to"]
+    colon = F.coalesce(F.contains(F.col(address), F.lit(":")), F.lit(False))
+    has6 = set(ends) <= set(ranges.columns)
+    numbered = (addresses.where(~colon) if has6 else addresses).withColumn("_number", ipv4_number(F.col(address)))
+    out = range_join(numbered, ranges.where(F.col("ip_from").isNotNull()).drop(*ends) if has6 else ranges, "_number", "ip_from", "ip_to").drop("_number")
+    if not has6:
+        return out
+    nets = ranges.where(F.col("ip6_from").isNotNull()).drop("ip_from", "ip_to").withColumns({c: ipv6_digits(F.col(c)) for c in ends})
+    points = addresses.where(colon).withColumn("_digits6", ipv6_digits(F.col(address)))
+    return out.unionByName(digits_join(points, nets, "_digits6", *ends).drop("_digits6"))
 
 
 def reputation_join(addresses: DataFrame, reputation: DataFrame, address: str = "ip", limit: int = 50) -> DataFrame:
