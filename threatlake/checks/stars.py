@@ -297,6 +297,35 @@ def quality_results(d: Data):
     return Q.run_checks(d.spark, [*checks, broken], "run").drop("checked_at")
 
 
+@query(f"""WITH x AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE attack_family_denorm = 'Benign') AS benign,
+    COUNT(*) FILTER (WHERE src_asset_sk NOT IN (SELECT asset_sk FROM fx_asset WHERE is_internal = 1 OR country_iso IS NOT NULL)
+      OR dest_asset_sk NOT IN (SELECT asset_sk FROM fx_asset WHERE is_internal = 1 OR country_iso IS NOT NULL)) AS hosts,
+    COUNT(*) FILTER (WHERE attack_sk IN (SELECT attack_sk FROM fx_attack_type WHERE severity = 'low')) AS types,
+    COUNT(*) FILTER (WHERE date_sk IS NULL OR date_sk NOT BETWEEN 20100101 AND 20171231) AS days FROM fx_fact),
+  c AS (SELECT COUNT(country_iso) AS k, COUNT(*) AS n, coalesce({_pct('COUNT(country_iso)', 'COUNT(*)')}, 0.0) AS p FROM fx_asset
+    WHERE is_internal = 0 AND country_iso IS NOT NULL),
+  b AS (SELECT n, coalesce({_pct('benign', 'n')}, 0.0) AS p FROM x),
+  h AS (SELECT COUNT(*) AS n, min(event_time) AS a, max(event_time) AS z FROM fx_fact WHERE attack_label = 'Heartbleed')
+  SELECT 'fact_row_count_matches_loaded' AS check_name, 'row_count' AS check_category, 'error' AS severity, (n = 60000)::INT AS passed, '60000' AS expected_value,
+    n::VARCHAR AS actual_value, 'fact has ' || n || ' rows, loader reported 60000' AS message FROM x
+  UNION ALL SELECT 'fk_integrity_assets', 'fk_integrity', 'error', (hosts = 0)::INT, '0', hosts::VARCHAR, hosts || ' rows with unknown hosts' FROM x
+  UNION ALL SELECT 'fk_integrity_attack_type', 'fk_integrity', 'error', (types = 0)::INT, '0', types::VARCHAR, types || ' rows with unknown attack_sk' FROM x
+  UNION ALL SELECT 'fk_integrity_dates', 'fk_integrity', 'error', (days = 0)::INT, '0', days::VARCHAR, days || ' rows with unknown date_sk' FROM x
+  UNION ALL SELECT 'attack_distribution_benign_ratio', 'distribution', CASE WHEN n < 100 THEN 'info' ELSE 'warning' END, (n < 100 OR p BETWEEN 50 AND 95)::INT, '50-95%', p::VARCHAR || '%',
+    CASE WHEN n < 100 THEN 'Skipped: dataset too small' ELSE 'share of benign rows' END FROM b
+  UNION ALL SELECT 'label_window_matches_documentation', 'temporal', CASE WHEN n = 0 THEN 'info' ELSE 'error' END,
+    coalesce(n = 0 OR (a::DATE = DATE '2017-07-05' AND z::DATE = DATE '2017-07-05' AND hour(a) = 15), false)::INT, '2017-07-05 15h',
+    CASE WHEN n = 0 THEN 'absent' ELSE a::VARCHAR || ' to ' || z::VARCHAR || ' (' || n || ' events)' END,
+    CASE WHEN n = 0 THEN 'Skipped: label not present' WHEN a::DATE = DATE '2017-07-05' AND z::DATE = DATE '2017-07-05' AND hour(a) = 15 THEN 'OK' ELSE 'events outside the documented window' END FROM h
+  UNION ALL SELECT 'external_ip_geo_coverage', 'enrichment', CASE WHEN n = 0 THEN 'info' ELSE 'warning' END, (n = 0 OR p >= 80)::INT, '>=80%', p::VARCHAR || '% (' || k || '/' || n || ')',
+    CASE WHEN n = 0 THEN 'nothing to check' ELSE 'country_iso known for external hosts' END FROM c
+  UNION ALL SELECT 'user_population', 'row_count', 'info', 1, 'any', COUNT(*)::VARCHAR, COUNT(*) || ' rows' FROM customer""")
+def quality_findings(d: Data):
+    """All standard checks of a load as one plan over one pass of the fact; some hosts and types count as unknown."""
+    known = d.asset.filter((F.col("is_internal") == 1) | F.col("country_iso").isNotNull())
+    return Q.flow_findings(d.fact, known, _types(d).filter(F.col("severity") != "low"), D.dim_date(d.spark), d.customer, 60000)
+
+
 @query(f"""SELECT k AS table_name, n AS rows FROM (SELECT 'events' AS k, COUNT(*) AS n FROM events UNION ALL SELECT 'orders', COUNT(*) FROM orders
   UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'documents', COUNT(*) FROM documents) c""")
 def table_counts(d: Data):
