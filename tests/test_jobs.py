@@ -62,6 +62,33 @@ def test_flow_job(spark, data, tmp_path):
     assert again["enrichment_cache"].count() == out["enrichment_cache"].count()
 
 
+def test_appended_loads_keep_ids_apart(spark, data, tmp_path):
+    """Two loads and the second once more: ids differ, nothing is doubled, views equal those of all rows, one folder is read a load."""
+    from threatlake.operators import dimensions as D
+    from threatlake.plans import views
+    from threatlake.sources import loads
+
+    flows = clean_flows(data)
+    cache = spark.createDataFrame([], "ip string, country_iso string, country_name string, abuse_confidence int, is_known_attacker int, enrichment_status string")
+    assets = spark.createDataFrame([], "asset_sk bigint, asset_identifier string, asset_type string, ip_address string, is_internal int, "
+                                   "country_iso string, country_name string, city string, latitude double, longitude double, asn_org string, "
+                                   "abuse_confidence int, is_known_attacker int, source_system string")
+    half = F.col("Flow ID").cast("long") % 2 == 0
+    for load, part in (("one", half), ("two", ~half), ("two", ~half)):
+        out = flow_job.run_flow_job(spark, flows.where(part), str(tmp_path), load, data.geo, data.reputation, cache, assets, data.customer, least_rows=1, least_columns=20, append=True)
+        cache, assets = out["enrichment_cache"], out["dim_asset"]
+        assert {r["check_name"]: r["passed"] for r in out["quality"].collect()}["fact_row_count_matches_loaded"] == 1
+    fact, kept = out["fact_security_event"], flows.filter("`Source IP` IS NOT NULL").count()
+    assert fact.count() == kept == fact.select("event_id").distinct().count() == fact.agg(F.max("event_id")).first()[0] + 1
+    assert loads.ledger(spark, str(tmp_path)).count() == 2
+    dates = D.dim_date_over(fact, "event_time")
+    whole = ["full_date", "attack_family", "severity", "event_count", "unique_attackers", "unique_targets"]
+    want = views.attack_summary(fact, dates, D.dim_attack_type(spark)).select(*whole).collect()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/views/two/mv_attack_summary").select(*whole).collect())) == sorted(map(tuple, want))
+    files = loads.one_load(spark, f"{tmp_path}/fact_security_event/loads", "one").inputFiles()
+    assert files and all("load_id=one" in f for f in files)
+
+
 def test_sample_mode_and_guards(spark, data):
     flows = clean_flows(data)
     families = {r[0]: r[1] for r in flow_job.extract(flows, "sample", 100).groupBy("attack_family").count().collect()}

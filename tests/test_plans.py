@@ -13,7 +13,7 @@ from threatlake.plans import reports as R
 from threatlake.plans import views as V
 
 PYTHON = {"scored_events_checked", "oversampled_counts", "isolation_forest_scores", "scored_events", "nearest_neighbours", "oversampled_minority"}
-EAGER = {"job_priority_distribution", "job_top_alerts", "binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
+EAGER = {"appended_loads", "job_priority_distribution", "job_top_alerts", "binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
 
 
 def plan(df) -> str:
@@ -84,6 +84,36 @@ def test_sample_of_many_strata_is_cut_by_a_shuffled_join(spark, data, monkeypatc
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_write_back_by_bucket_moves_no_row(spark):
+    from threatlake.ml import scoring
+    from threatlake.sources.sinks import write_bucketed
+
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") % 5).alias("date_sk"), F.lit("x").alias("wide"))
+    write_bucketed(rows, "plan_fact", "event_id", 4, "date_sk")
+    scored = rows.where("date_sk = 3").select("event_id", "date_sk", F.lit(0.5).alias("priority_score"), F.lit("high").alias("priority_label"), F.lit(0.1).alias("anomaly_score"))
+    write_bucketed(scored, "plan_scores", "event_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = scoring.write_back(spark.table("plan_fact").where("date_sk = 3"), spark.table("plan_scores").drop("date_sk"), "v1")
+        text = plan(merged)
+        assert "SortMergeJoin" in text and "Exchange" not in text and "PartitionFilters: [isnotnull(date_sk" in text
+        scoring.write_back_days("plan_fact", "plan_scores", "plan_out", "v1", 4)
+        write_bucketed(scored.withColumn("date_sk", F.lit(4).cast("long")).withColumn("event_id", F.col("event_id") + 1), "plan_scores", "event_id", 4)
+        out = scoring.write_back_days("plan_fact", "plan_scores", "plan_out", "v2", 4)
+        assert {tuple(r) for r in out.groupBy("date_sk", "model_version").count().collect()} == {(3, "v1", 200), (4, "v2", 200)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("plan_fact", "plan_scores", "plan_out"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_checks_read_the_fact_once(data, spark):
+    from threatlake.operators import quality as Q
+
+    text = plan(Q.flow_findings(data.fact.select("*"), data.asset, D.dim_attack_type(spark), D.dim_date(spark), data.customer, 1))
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+
+
 def test_sample_windows_run_inside_hash_buckets(data):
     text = plan(SA.stratified_sample(data.events, ["event_type"], ["event_id"], 10))
     assert "hashpartitioning(event_type" in text and "_bucket" in text

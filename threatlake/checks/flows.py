@@ -238,12 +238,13 @@ def asset_upsert(d: Data):
     return out.select("asset_identifier", "asset_sk", "is_internal", "asset_type")
 
 
-@query("""WITH seen AS (SELECT DISTINCT p FROM (SELECT CASE WHEN TRY_CAST(src_port AS DOUBLE) BETWEEN 0 AND 65535 THEN TRY_CAST(src_port AS INT) END AS p FROM fx_flow
-    UNION ALL SELECT CASE WHEN TRY_CAST(dest_port AS DOUBLE) BETWEEN 0 AND 65535 THEN TRY_CAST(dest_port AS INT) END FROM fx_flow) x WHERE p IS NOT NULL),
-  fresh AS (SELECT p FROM seen WHERE p NOT IN (SELECT port_number FROM fx_port))
+@query("""WITH known AS MATERIALIZED (SELECT port_number, port_category, port_sk FROM fx_port),
+  seen AS MATERIALIZED (SELECT p FROM (SELECT CASE WHEN TRY_CAST(src_port AS DOUBLE) BETWEEN 0 AND 65535 THEN TRY_CAST(src_port AS INT) END AS p FROM fx_flow
+    UNION ALL SELECT CASE WHEN TRY_CAST(dest_port AS DOUBLE) BETWEEN 0 AND 65535 THEN TRY_CAST(dest_port AS INT) END FROM fx_flow) x WHERE p IS NOT NULL GROUP BY p),
+  fresh AS (SELECT s.p FROM seen s ANTI JOIN known k ON k.port_number = s.p)
   SELECT p AS port_number, 'observed' AS port_category, CASE WHEN p < 1024 THEN 1 ELSE 0 END AS is_well_known,
     40 + row_number() OVER (ORDER BY md5(p::VARCHAR)) AS port_sk FROM fresh
-  UNION ALL SELECT port_number, port_category, CASE WHEN port_number < 1024 THEN 1 ELSE 0 END, port_sk FROM fx_port""")
+  UNION ALL SELECT port_number, port_category, CASE WHEN port_number < 1024 THEN 1 ELSE 0 END, port_sk FROM known""")
 def port_upsert(d: Data):
     ports = d.flow.select(N.port_number(F.col("src_port")).alias("src_port"), N.port_number(F.col("dest_port")).alias("dest_port"))
     out = D.upsert_ports(D.dim_port(d.spark), ports)

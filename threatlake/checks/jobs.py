@@ -15,6 +15,7 @@ from threatlake.ml import scoring
 from threatlake.plans import flow_job
 from threatlake.plans import reports as R
 from threatlake.session import checkpoint_folder
+from threatlake.sources.loads import all_loads
 from threatlake.sources.sinks import next_version
 
 NO_CACHE = "ip string, country_iso string, country_name string, abuse_confidence int, is_known_attacker int, enrichment_status string"
@@ -38,14 +39,19 @@ def _stored(d: Data) -> tuple[DataFrame, DataFrame]:
     return d.spark.read.parquet(f"{root}/fact_scored/v1"), d.spark.read.parquet(f"{root}/dim_asset/v1")
 
 
-def _run(d: Data) -> str:
+def _flows(d: Data) -> DataFrame:
+    """Flows under file column names, without ids of their own."""
     label = F.col("label")
     measures = {source: F.col("value") for source, name in C.FLOW_COLUMNS.items() if name in C.FLOW_FEATURES}
-    flows = d.flow.select(
-        "event_id", F.col("event_id").cast("string").alias("Flow ID"), F.col("src_ip").alias("Source IP"), F.col("dest_ip").alias("Destination IP"),
+    return d.flow.select(
+        F.col("event_id").alias("_id"), F.col("event_id").cast("string").alias("Flow ID"), F.col("src_ip").alias("Source IP"), F.col("dest_ip").alias("Destination IP"),
         F.col("src_port").alias("Source Port"), F.col("dest_port").alias("Destination Port"), F.col("protocol_num").alias("Protocol"), "event_time", "source_day",
         L.label_clean(label).alias("label_clean"), L.attack_family(label).alias("attack_family"), L.is_attack(label).alias("is_attack"),
         *[c.alias(n) for n, c in measures.items()])
+
+
+def _run(d: Data) -> str:
+    flows = _flows(d).withColumnRenamed("_id", "event_id")
     root = f"{checkpoint_folder(d.spark)}/job-{uuid.uuid4().hex}"
     out = flow_job.run_flow_job(
         d.spark, flows, root, "v1", d.geo, d.reputation, d.spark.createDataFrame([], NO_CACHE), d.spark.createDataFrame([], NO_ASSETS), d.customer, least_rows=0)
@@ -65,3 +71,26 @@ def job_priority_distribution(d: Data):
 def job_top_alerts(d: Data):
     fact, assets = _stored(d)
     return R.top_alerts(fact, assets).select("event_id", "event_time", "src_ip", "dest_ip", "priority_label", "priority_score")
+
+
+LOADED = "(SELECT *, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS load_id FROM fx_flow WHERE src_ip IS NOT NULL AND dest_ip IS NOT NULL AND event_time IS NOT NULL)"
+
+
+def _appended(d: Data) -> str:
+    """Loads a third of the flows and the rest one after the other into one fact, then the second load once more."""
+    root, assets, cache = f"{checkpoint_folder(d.spark)}/loads-{uuid.uuid4().hex}", d.spark.createDataFrame([], NO_ASSETS), d.spark.createDataFrame([], NO_CACHE)
+    flows = _flows(d)
+    third = F.col("_id") % 3 == 0
+    for load, part in (("a", third), ("b", ~third), ("b", ~third)):
+        out = flow_job.run_flow_job(d.spark, flows.where(part).drop("_id"), root, load, d.geo, d.reputation, cache, assets, d.customer, least_rows=0, append=True)
+        cache, assets = out["enrichment_cache"], out["dim_asset"]
+    return root
+
+
+@query(f"""WITH n AS (SELECT load_id, COUNT(*) AS rows FROM {LOADED} l GROUP BY 1)
+  SELECT load_id, rows, rows AS different_ids, CASE load_id WHEN 'a' THEN 0 ELSE (SELECT rows FROM n WHERE load_id = 'a') END AS first_id,
+    CASE load_id WHEN 'a' THEN rows - 1 ELSE (SELECT SUM(rows) FROM n) - 1 END AS last_id FROM n""")
+def appended_loads(d: Data):
+    """Ids go on over loads, and the load that came twice is there once."""
+    fact = all_loads(d.spark, f"{_appended(d)}/fact_security_event/loads")
+    return fact.groupBy("load_id").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("different_ids"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))

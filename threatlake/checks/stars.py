@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -18,9 +19,12 @@ from threatlake.operators import joins as J
 from threatlake.operators import ordering as O
 from threatlake.operators import quality as Q
 from threatlake.operators import sampling as SA
+from threatlake.plans import increments
 from threatlake.plans import reports as R
 from threatlake.plans import views as V
+from threatlake.session import checkpoint_folder
 from threatlake.sources.readers import reconcile
+from threatlake.sources.sinks import write_bucketed
 
 STAR = "fx_fact f JOIN fx_attack_type t ON f.attack_sk = t.attack_sk"
 DAY = "strptime(f.date_sk::VARCHAR, '%Y%m%d')"
@@ -36,16 +40,35 @@ def _types(d: Data):
 
 # ---- views ----------------------------------------------------------------------------------------
 
-@query(f"""SELECT {DAY}::DATE AS full_date, dayname({DAY}) AS day_name, attack_family, severity, COUNT(*) AS event_count,
+SUMMARY = f"""SELECT {DAY}::DATE AS full_date, dayname({DAY}) AS day_name, attack_family, severity, COUNT(*) AS event_count,
   COUNT(DISTINCT src_asset_sk) AS unique_attackers, COUNT(DISTINCT dest_asset_sk) AS unique_targets,
   round(SUM(flow_bytes_per_sec), 2) AS total_byte_throughput, round(AVG(flow_duration), 4) AS avg_flow_duration_us
-  FROM {STAR} WHERE is_attack = 1 GROUP BY ALL""")
-def attack_summary(d: Data):
-    view = V.attack_summary(d.fact, _dates(d), _types(d))
+  FROM {STAR} WHERE is_attack = 1 GROUP BY ALL"""
+
+
+def _rounded(view):
     return view.withColumns({
         "total_byte_throughput": F.round("total_byte_throughput", 2), "avg_flow_duration_us": F.round("avg_flow_duration_us", 4)})
 
 
+@query(SUMMARY)
+def attack_summary(d: Data):
+    return _rounded(V.attack_summary(d.fact, _dates(d), _types(d)))
+
+
+def _refreshed(d: Data) -> dict:
+    """View tables from the states of three loads, the second of them written twice; each load is read alone."""
+    root = f"{checkpoint_folder(d.spark)}/states-{uuid.uuid4().hex}"
+    for load in (0, 1, 1, 2):
+        increments.write_states(d.fact.where(F.pmod("event_id", F.lit(3)) == load), root, str(load))
+    return increments.views_from_states(d.spark, root, d.asset, _dates(d), D.dim_time(d.spark), _types(d))
+
+
+@query(SUMMARY)
+def refreshed_attack_summary(d: Data):
+    return _rounded(_refreshed(d)["mv_attack_summary"])
+
+
 TOP_ATTACKERS = f"""SELECT asset_identifier AS attacker_ip, country_iso, country_name, city, latitude, longitude, asn_org, abuse_confidence,
   COUNT(*) AS attack_count, COUNT(DISTINCT dest_asset_sk) AS unique_targets, COUNT(DISTINCT t.attack_family) AS attack_families_used,
   MIN(event_time) AS first_seen, MAX(event_time) AS last_seen FROM {STAR} JOIN fx_asset a ON a.asset_sk = f.src_asset_sk
@@ -57,6 +80,11 @@ def top_attackers(d: Data):
     return V.top_attackers(d.fact, d.asset, _types(d))
 
 
+@query(TOP_ATTACKERS)
+def refreshed_top_attackers(d: Data):
+    return _refreshed(d)["mv_top_attackers"]
+
+
 @query(f"""SELECT asset_identifier AS target_ip, asset_type, business_unit, criticality, COUNT(*) AS attacks_received,
   COUNT(DISTINCT src_asset_sk) AS unique_attackers, COUNT(DISTINCT t.attack_family) AS attack_families_seen,
   MIN(event_time) AS first_attacked, MAX(event_time) AS last_attacked FROM {STAR} JOIN fx_asset a ON a.asset_sk = f.dest_asset_sk
@@ -69,12 +97,20 @@ PART_OF_DAY = ("CASE WHEN hour(event_time) < 5 THEN 'late_night' WHEN hour(event
                "THEN 'morning' WHEN hour(event_time) < 17 THEN 'afternoon' WHEN hour(event_time) < 20 THEN 'evening' ELSE 'night' END")
 
 
-@query(f"""SELECT dayname(event_time) AS day_name, hour(event_time) AS hour_24, {PART_OF_DAY} AS day_part, t.attack_family, COUNT(*) AS event_count
-  FROM {STAR} WHERE is_attack = 1 GROUP BY ALL""")
+PATTERN = f"""SELECT dayname(event_time) AS day_name, hour(event_time) AS hour_24, {PART_OF_DAY} AS day_part, t.attack_family, COUNT(*) AS event_count
+  FROM {STAR} WHERE is_attack = 1 GROUP BY ALL"""
+
+
+@query(PATTERN)
 def hourly_threat_pattern(d: Data):
     return V.hourly_threat_pattern(d.fact, _dates(d), D.dim_time(d.spark), _types(d))
 
 
+@query(PATTERN)
+def refreshed_threat_pattern(d: Data):
+    return _refreshed(d)["mv_hourly_threat_pattern"]
+
+
 @query("""SELECT c_custkey, COUNT(o_orderkey) AS orders, round(COALESCE(SUM(o_totalprice), 0), 2) AS spent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def dimension_preserving_join(d: Data):
     spent = d.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("spent"))
@@ -374,6 +410,27 @@ def score_write_back(d: Data):
     return scoring.write_back(fact, scores, "v1").select("event_id", "user_id", "priority_score", "priority_label")
 
 
+@query("""SELECT event_id, date_sk, CASE WHEN event_type = 'error' THEN round(value / 500, 4) WHEN date_sk % 2 = 1 THEN 0.125 END AS priority_score,
+    CASE WHEN event_type = 'error' OR date_sk % 2 = 1 THEN 'v2' ELSE 'v1' END AS model_version
+  FROM (SELECT event_id, event_type, value, year(ts) * 100 + month(ts) AS date_sk FROM events) e
+  WHERE date_sk IN (SELECT year(ts) * 100 + month(ts) FROM events WHERE event_type = 'error')""")
+def score_write_back_by_bucket(d: Data):
+    """Months as days: all are scored once, then the odd ones once more and errors anew; both runs join bucket with bucket."""
+    name = f"scored_{uuid.uuid4().hex}"
+    month = F.year("ts") * 100 + F.month("ts")
+    rows = d.events.select("event_id", "event_type", "value", month.alias("date_sk"))
+    write_bucketed(rows.drop("value"), f"{name}_fact", "event_id", 8, "date_sk")
+    error = F.col("event_type") == "error"
+    for version, part in (("v1", rows.where(F.lit(True))), ("v2", rows)):
+        score = F.when(error, F.col("value") / 500).when(F.col("date_sk") % 2 == 1, 0.125)
+        labels = [score.alias("priority_score"), F.lit("x").alias("priority_label"), F.lit(0.5).alias("anomaly_score")]
+        wanted = part if version == "v1" else part.where(error | (F.col("date_sk") % 2 == 1))
+        write_bucketed(wanted.select("event_id", "date_sk", *labels), f"{name}_{version}", "event_id", 8)
+        out = scoring.write_back_days(f"{name}_fact", f"{name}_{version}", f"{name}_out", version, 8)
+    hit = F.when(F.col("model_version").isNull(), "v1").otherwise(F.col("model_version"))
+    return out.select("event_id", "date_sk", "priority_score", hit.alias("model_version"))
+
+
 # ---- order, sets, samples ----------------------------------------------------------------------------
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")

@@ -34,6 +34,14 @@ def assembler(features, out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out)
 
 
+def _bare(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which would hold the training rows and the session and travel to every task."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def train_binary(
     df: DataFrame, features, label: str, balanced: bool = True, seed: int = 42, **forest,
 ) -> PipelineModel:
@@ -47,7 +55,7 @@ def train_binary(
     clean = cut_lineage(clean.select(*features, label))
     if balanced:
         clean, rf = with_class_weight(clean, label), rf.setWeightCol("weight")
-    return Pipeline(stages=[assembler(features), rf]).fit(clean)
+    return _bare(Pipeline(stages=[assembler(features), rf]).fit(clean))
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
@@ -74,7 +82,7 @@ def train_family(
             numTrees=trees, maxDepth=depth, maxBins=BINS, seed=seed, weightCol="weight", labelCol="_code",
             featuresCol="features")
     names = IndexToString(inputCol="prediction", outputCol="predicted_family", labels=codes.labels)
-    return Pipeline(stages=[assembler(features), codes.setHandleInvalid("keep"), model, names]).fit(clean)
+    return _bare(Pipeline(stages=[assembler(features), codes.setHandleInvalid("keep"), model, names]).fit(clean))
 
 
 def _one_against_rest(stage, df: DataFrame) -> DataFrame:

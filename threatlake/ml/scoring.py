@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake.functions.scores import family_severity, priority_label, priority_score, severity_weight
@@ -47,5 +47,22 @@ def write_back(fact: DataFrame, scores: DataFrame, version: str, key: str = "eve
         fact, stamped, [key], ["priority_score", "priority_label", "anomaly_score", "model_version", "scored_at"])
 
 
+def write_back_days(fact: str, scores: str, target: str, version: str, buckets: int, key: str = "event_id", day: str = "date_sk") -> DataFrame:
+    """Writes the scored days of a fact into ``target`` and returns it; other days of ``target`` stay as they are.
+
+    ``fact`` and ``scores`` are catalog tables in equal buckets by ``key`` (``sinks.write_bucketed``), both with ``day``. Bucket meets
+    bucket, so neither side is shuffled, and ``target`` has the same buckets. Scoring a day again replaces that day.
+    """
+    spark = SparkSession.active()
+    done = spark.table(scores)
+    days = [r[0] for r in done.select(day).distinct().collect()]
+    merged = write_back(spark.table(fact).where(F.col(day).isin(days)), done.drop(day), version, key)
+    if not spark.catalog.tableExists(target):
+        merged.limit(0).write.format("parquet").bucketBy(buckets, key).sortBy(key).partitionBy(day).saveAsTable(target)
+    ordered = merged.select(*spark.table(target).columns)
+    ordered.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(target)
+    return spark.table(target)
+
+
 def label_tally(scores: DataFrame) -> DataFrame:
     return scores.groupBy("priority_label").agg(F.count("*").alias("events"))

@@ -54,20 +54,21 @@ def require_rows(count: int, mode: str, least: int = C.MIN_FLOW_ROWS) -> None:
         raise ValueError(f"only {count} rows, expected at least {least}")
 
 
+def transform_metrics(first: int = 20170703, last: int = 20170707) -> dict[str, Column]:
+    """Counts behind the checks after the transform step, for one aggregate or to be observed while the rows are written."""
+    return {
+        "null_dates": F.count_if(F.col("date_sk").isNull()), "bad_times": F.count_if(~F.col("time_sk").between(0, 1439)),
+        "dates_outside": F.count_if(~F.col("date_sk").between(first, last)), "first_date": F.min("date_sk"), "last_date": F.max("date_sk"),
+        "invalid_src": F.count_if(F.col("src_ip_class") == "invalid"), "invalid_dest": F.count_if(F.col("dest_ip_class") == "invalid")}
+
+
 def transform_findings(df: DataFrame, first: int = 20170703, last: int = 20170707) -> DataFrame:
-    """Counts behind the checks after the transform step, all in one aggregate."""
-    return df.agg(
-        F.count_if(F.col("date_sk").isNull()).alias("null_dates"),
-        F.count_if(~F.col("time_sk").between(0, 1439)).alias("bad_times"),
-        F.count_if(~F.col("date_sk").between(first, last)).alias("dates_outside"),
-        F.min("date_sk").alias("first_date"), F.max("date_sk").alias("last_date"),
-        F.count_if(F.col("src_ip_class") == "invalid").alias("invalid_src"),
-        F.count_if(F.col("dest_ip_class") == "invalid").alias("invalid_dest"))
+    return df.agg(*[c.alias(n) for n, c in transform_metrics(first, last).items()])
 
 
-def enforce_transform(findings: DataFrame) -> list[str]:
+def enforce_transform(findings: DataFrame | dict) -> list[str]:
     """Raises on missing dates and impossible times, returns warnings for the rest."""
-    found = findings.first()
+    found = findings.first() if isinstance(findings, DataFrame) else findings
     if found["null_dates"]:
         raise ValueError(f"{found['null_dates']} rows without date key")
     if found["bad_times"]:

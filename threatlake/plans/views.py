@@ -10,19 +10,40 @@ def _attacks(fact: DataFrame) -> DataFrame:
     return fact.filter(F.col("is_attack") == 1)
 
 
-def attack_summary(fact: DataFrame, dates: DataFrame, attack_types: DataFrame) -> DataFrame:
-    """Attacks per day, family and severity; the calendar joins the few aggregated rows, not the fact."""
+def daily_pairs(fact: DataFrame) -> DataFrame:
+    """Attacks by day, source, target and label, with the sums that views need; rows of several loads add up.
+
+    Floods repeat few pairs very often, so a hot source or target shrinks to its partners
+    inside the map tasks and does not travel row by row.
+    """
+    identified = F.count("event_id" if "event_id" in fact.columns else "*")
+    measures = {name: F.col(name) if name in fact.columns else F.lit(None).cast("double") for name in ("flow_bytes_per_sec", "flow_duration")}
+    return _attacks(fact).groupBy("date_sk", "src_asset_sk", "dest_asset_sk", "attack_sk").agg(
+        F.count("*").alias("n"), identified.alias("events"), F.min("event_time").alias("first"), F.max("event_time").alias("last"),
+        F.sum(measures["flow_bytes_per_sec"]).alias("bytes"), F.sum(measures["flow_duration"]).alias("duration"), F.count(measures["flow_duration"]).alias("timed"))
+
+
+def daily_minutes(fact: DataFrame) -> DataFrame:
+    """Attacks by day, minute and label."""
+    return _attacks(fact).groupBy("date_sk", "time_sk", "attack_sk").agg(F.count("*").alias("n"))
+
+
+def summary_of(pairs: DataFrame, dates: DataFrame, attack_types: DataFrame) -> DataFrame:
     d = dates.select("date_sk", "full_date", "day_name")
     a = attack_types.select("attack_sk", "attack_family", "severity")
-    daily = _attacks(fact).join(a, "attack_sk").groupBy("date_sk", "attack_family", "severity").agg(
-        F.count("*").alias("event_count"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
-        F.countDistinct("dest_asset_sk").alias("unique_targets"),
-        F.sum("flow_bytes_per_sec").alias("total_byte_throughput"),
-        F.avg("flow_duration").alias("avg_flow_duration_us"),
-    )
+    daily = pairs.join(a, "attack_sk").groupBy("date_sk", "attack_family", "severity").agg(
+        F.sum("n").alias("event_count"), F.countDistinct("src_asset_sk").alias("unique_attackers"),
+        F.countDistinct("dest_asset_sk").alias("unique_targets"), F.sum("bytes").alias("total_byte_throughput"),
+        F.try_divide(F.sum("duration").cast("double"), F.sum("timed")).alias("avg_flow_duration_us"))
     return daily.join(d, "date_sk").drop("date_sk")
 
 
+def attack_summary(fact: DataFrame, dates: DataFrame, attack_types: DataFrame) -> DataFrame:
+    """Attacks per day, family and severity. Rows are counted by pairs of hosts first, so the distinct hosts are sought among pairs;
+    the calendar joins the few aggregated rows, not the fact."""
+    return summary_of(daily_pairs(fact), dates, attack_types)
+
+
 def attack_pairs(fact: DataFrame) -> DataFrame:
     """Attacks counted by source, target and label, before any host is joined.
 
@@ -40,10 +61,14 @@ GEO = ("country_iso", "country_name", "city", "latitude", "longitude", "asn_org"
 
 def top_attackers(fact: DataFrame, assets: DataFrame, attack_types: DataFrame) -> DataFrame:
     """External sources with location, reach and period of their attacks."""
+    return attackers_of(attack_pairs(fact), assets, attack_types)
+
+
+def attackers_of(pairs: DataFrame, assets: DataFrame, attack_types: DataFrame) -> DataFrame:
     a = assets.filter(F.col("is_internal") == 0).select(
         F.col("asset_sk").alias("src_asset_sk"), F.col("asset_identifier").alias("attacker_ip"), *GEO)
     t = attack_types.select("attack_sk", "attack_family")
-    return attack_pairs(fact).join(a, "src_asset_sk").join(t, "attack_sk").groupBy("attacker_ip", *GEO).agg(
+    return pairs.join(a, "src_asset_sk").join(t, "attack_sk").groupBy("attacker_ip", *GEO).agg(
         F.sum("n").alias("attack_count"), F.countDistinct("dest_asset_sk").alias("unique_targets"),
         F.countDistinct("attack_family").alias("attack_families_used"),
         F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
@@ -102,10 +127,12 @@ def hourly_threat_pattern(fact: DataFrame, dates: DataFrame, times: DataFrame, a
     The fact is first counted by its three small keys, so the dimension joins see at most
     days x minutes x labels rows.
     """
-    keys = ["date_sk", "time_sk", "attack_sk"]
-    counted = _attacks(fact).groupBy(*keys).agg(F.count("*").alias("n"))
+    return pattern_of(daily_minutes(fact), dates, times, attack_types)
+
+
+def pattern_of(minutes: DataFrame, dates: DataFrame, times: DataFrame, attack_types: DataFrame) -> DataFrame:
     joined = (
-        counted.join(dates.select("date_sk", "day_name"), "date_sk")
+        minutes.join(dates.select("date_sk", "day_name"), "date_sk")
         .join(times.select("time_sk", "hour_24", "day_part"), "time_sk")
         .join(attack_types.select("attack_sk", "attack_family"), "attack_sk")
     )
@@ -115,9 +142,16 @@ def hourly_threat_pattern(fact: DataFrame, dates: DataFrame, times: DataFrame, a
 def refresh_views(
     fact: DataFrame, assets: DataFrame, dates: DataFrame, times: DataFrame, attack_types: DataFrame,
 ) -> dict[str, DataFrame]:
-    """The three views kept as tables after each load."""
+    """The three views kept as tables, from all rows of the fact."""
+    return views_of(daily_pairs(fact), daily_minutes(fact), assets, dates, times, attack_types)
+
+
+def views_of(
+    pairs: DataFrame, minutes: DataFrame, assets: DataFrame, dates: DataFrame, times: DataFrame, attack_types: DataFrame,
+) -> dict[str, DataFrame]:
+    """The three views from states; several rows of one key, as several loads leave them, add up."""
     return {
-        "mv_attack_summary": attack_summary(fact, dates, attack_types),
-        "mv_top_attackers": top_attackers(fact, assets, attack_types),
-        "mv_hourly_threat_pattern": hourly_threat_pattern(fact, dates, times, attack_types),
+        "mv_attack_summary": summary_of(pairs, dates, attack_types),
+        "mv_top_attackers": attackers_of(pairs, assets, attack_types),
+        "mv_hourly_threat_pattern": pattern_of(minutes, dates, times, attack_types),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def write_snapshot(df: DataFrame, path: str, codec: str = "zstd") -> None:
@@ -42,8 +42,21 @@ def write_tables(tables: dict[str, DataFrame], root: str | None = None) -> None:
             write_snapshot(df, f"{root}/{name}")
 
 
-def next_version(spark: SparkSession, df: DataFrame, root: str, name: str, version: str) -> DataFrame:
+def next_version(spark: SparkSession, df: DataFrame, root: str, name: str, version: str, replace: bool = False) -> DataFrame:
     """Writes ``root/name/version`` and reads it back; the version read so far stays untouched."""
     path = f"{root}/{name}/{version}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite" if replace else "errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def observed_version(spark: SparkSession, df: DataFrame, root: str, name: str, version: str, metrics: dict[str, Column], replace: bool = False) -> tuple[DataFrame, dict]:
+    """``next_version`` and aggregates of the rows, gathered while they are written, without another pass."""
+    seen = Observation()
+    stored = next_version(spark, df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), root, name, version, replace)
+    return stored, seen.get
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, partition: str | None = None) -> None:
+    """Replaces a catalog table whose rows lie in ``buckets`` by a hash of ``key``; equally bucketed tables join without moving rows."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
