@@ -121,7 +121,7 @@ def train(texts: list[bytes], labels: np.ndarray, passage: int = PASSAGE, dim: i
     per_word = np.bincount(row, minlength=len(vocabulary)).astype(float)
     in_text = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(vocabulary) + ids) % len(vocabulary)
     spread_over = np.bincount(bucket, np.bincount(in_text, minlength=len(vocabulary))[row], 1 << bits)
-    common = spread_over[bucket] >= SEEN
+    common = (spread_over >= SEEN)[bucket]
     row, bucket = row[common], bucket[common]
     used, bucket = np.unique(bucket, return_inverse=True)
     grams = model.grams[used].astype(np.float64)
@@ -129,12 +129,13 @@ def train(texts: list[bytes], labels: np.ndarray, passage: int = PASSAGE, dim: i
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     y = labels[text]
 
-    def spread(index, values, n):
-        return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1)
+    def spread(index, values, picked, n):
+        """Sums of the picked rows of ``values`` by index; one column of picked values is held at a time."""
+        return np.stack([np.bincount(index, values[picked, k], n) for k in range(values.shape[1])], axis=1)
 
     for step in range(1, steps + 1):
-        word = spread(row, grams[bucket], len(vocabulary)) / per_word[:, None]
-        mean = spread(owner, word[ids], len(start)) / size[:, None]
+        word = spread(row, grams, bucket, len(vocabulary)) / per_word[:, None]
+        mean = spread(owner, word, ids, len(start)) / size[:, None]
         logit = mean @ model.weights + model.bias
         p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -500, 500)))
         weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
@@ -145,8 +146,8 @@ def train(texts: list[bytes], labels: np.ndarray, passage: int = PASSAGE, dim: i
             weight = np.where(kept, np.where(y == 1, 0.5 / max((kept & (y == 1)).sum(), 1), weight), 0)
         g = ((p - y) * weight)[:, None] * np.array([-1.0, 1.0])
         g_mean = g @ model.weights.T / size[:, None]
-        g_word = spread(ids, g_mean[owner], len(vocabulary)) / per_word[:, None]
-        grads = [spread(bucket, g_word[row], len(used)) + DECAY * grams, mean.T @ g + 1e-5 * model.weights, g.sum(axis=0)]
+        g_word = spread(ids, g_mean, owner, len(vocabulary)) / per_word[:, None]
+        grads = [spread(bucket, g_word, row, len(used)) + DECAY * grams, mean.T @ g + 1e-5 * model.weights, g.sum(axis=0)]
         for i, (value, grad) in enumerate(zip(params, grads, strict=True)):
             first[i] += 0.1 * (grad - first[i])
             second[i] += 0.02 * (grad * grad - second[i])
