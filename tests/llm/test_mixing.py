@@ -5,6 +5,8 @@ import hashlib
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import ODD
 from threatlake.llm import mixing
 
@@ -27,13 +29,13 @@ def plain_targets(sizes, weights=(3, 1, 2), share=1.5, passes=2):
 
 
 def plain_mix(rows):
-    docs = [(d, s, len((t or "").encode().split())) for d, t, s in rows]
+    docs = [(d, s, len((t or "").encode().split()), t or "") for d, t, s in rows]
     sizes = {}
-    for _, s, n in docs:
+    for _, s, n, _ in docs:
         sizes[s] = sizes.get(s, 0) + n
     target = plain_targets(sizes)
     place = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
-    key = lambda d: (hashlib.md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), -1 if d[0] is None else d[0], d[2])
+    key = lambda d: (hashlib.md5((str("" if d[0] is None else d[0]) + ":" + d[3]).encode()).hexdigest(), -1 if d[0] is None else d[0], d[2])
     entries = []
     for s in sizes:
         mine = [d for d in docs if d[1] == s]
@@ -47,7 +49,7 @@ def plain_mix(rows):
         taken.setdefault(d, 0)
         if sum(e[1][2] for e in entries if e[0] <= order) <= budget:
             taken[d] += d[2] / sum(x == d for x in docs)
-    return target, taken
+    return target, [(d[0], d[1], d[2], taken[d]) for d in docs]
 
 
 def test_mix_equals_loop(documents):
@@ -56,8 +58,30 @@ def test_mix_equals_loop(documents):
     target, taken = plain_mix(rows)
     assert len(got) == len(rows)
     for r in got:
-        assert r.target == pytest.approx(target[r.source]) and r.taken == taken[(r.doc_id, r.source, r.size)], r
-        assert r.taken <= 2 * r.size
+        assert r.target == pytest.approx(target[r.source]) and r.taken <= 2 * r.size
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.source, r.size, r.taken) for r in got), key=order) == sorted(taken, key=order)
+
+
+def test_rows_without_an_id_or_with_one_id_lie_apart(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"),
+                                    F.concat(F.lit("w "), F.col("id")).alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    keys = docs.select(*mixing._keys("doc_id", "text", "source")).withColumn("part", F.substring("hash", 1, 1))
+    for some in ("doc_id IS NULL", "doc_id = 7"):
+        counts = [r["count"] for r in keys.where(some).groupBy("part").count().collect()]
+        assert len(counts) == 16 and max(counts) < 250
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("goal")).collect()
+    assert all(abs(r.n - r.goal) <= 4 for r in got)
+
+
+def test_a_much_repeated_row_is_one_entry(documents):
+    rows = [(None, "a b c", "x")] * 500 + [(i, "w " * (i % 5 + 1), "x" if i % 2 else "y") for i in range(300)]
+    docs = documents(rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 800 and len({r.taken for r in got if r.doc_id is None}) == 1
+    target, taken = plain_mix(rows)
+    assert sum(r.taken for r in got) == pytest.approx(sum(t[3] for t in taken))
+    assert mixing.mixed_rows(docs).count() == sum(r.copies for r in got)
 
 
 def test_mix_equals_sql(spark, sf_dir):
