@@ -25,10 +25,10 @@ def make(seed=5):
     return [(i, np.float32(v).tolist(), l) for i, v, l in rows]
 
 
-@pytest.mark.parametrize("block", [16, 2048])
-def test_links_and_components(spark, block):
+@pytest.mark.parametrize(("block", "bits"), [(16, None), (2048, None), (2048, 13)])
+def test_links_and_components(spark, block, bits):
     rows = make() + BAD
-    got = cosine.similar_vectors(table(spark, rows), block=block).collect()
+    got = cosine.similar_vectors(table(spark, rows), block=block, bits=bits).collect()
     assert len(got) == len(rows)
     good = [(i, np.array(v, float), l) for i, v, l in rows if i < 900]
     x = np.stack([v / np.linalg.norm(v) for _, v, _ in good])
@@ -57,6 +57,14 @@ def test_tables_reach_the_wanted_recall():
     assert (1 - same**10) ** n <= 1e-4 < (1 - same**10) ** (n - 1)
 
 
+def test_codes_grow_with_the_rows():
+    bits = [cosine.bits_needed(n) for n in (0, 1, 50_000, 10**6, 10**9, 10**12)]
+    assert bits == [10, 10, 10, 14, 24, 30]
+    for n in (10**6, 10**8, 10**10):  # vectors met in all tables: at most the square root of the rows times a constant
+        b = cosine.bits_needed(n)
+        assert n / 2**b <= cosine.CROWD and cosine.tables_needed(0.93, b) * n / 2**b < 64 * n**0.5
+
+
 def test_hilbert_keys_are_a_walk_over_all_cells():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     key = curves.hilbert_keys(cells, 3)

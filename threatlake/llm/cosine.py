@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -12,8 +13,14 @@ from pyspark.sql import functions as F
 from threatlake.llm.components import connected_components
 from threatlake.llm.storage import cut_lineage
 
-#: Sign bits of a table, the chance that a pair exactly at the threshold shares no table, and vectors compared at a time.
-BITS, MISS, BLOCK = 10, 1e-4, 2048
+#: Least sign bits of a table, different vectors of a label that a code holds on average beyond that, the chance that a
+#: pair exactly at the threshold shares no table, and vectors compared at a time.
+BITS, CROWD, MISS, BLOCK = 10, 64, 1e-4, 2048
+
+
+def bits_needed(rows: int, crowd: int = CROWD, least: int = BITS) -> int:
+    """Sign bits at which unrelated vectors share a code with about ``crowd`` others, however many rows there are."""
+    return min(30, max(least, math.ceil(math.log2(max(rows, 1) / crowd))))
 
 
 def tables_needed(threshold: float, bits: int = BITS, miss: float = MISS) -> int:
@@ -22,15 +29,17 @@ def tables_needed(threshold: float, bits: int = BITS, miss: float = MISS) -> int
     return math.ceil(math.log(miss) / math.log1p(-same))
 
 
+@functools.lru_cache(4)
 def planes(dim: int, tables: int, bits: int, seed: int = 42) -> np.ndarray:
     """Normals of the random hyperplanes, (dim, tables * bits)."""
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
 
 
-def signatures(vectors: np.ndarray, tables: int, bits: int, seed: int = 42) -> np.ndarray:
-    """Sign codes, (vectors, tables)."""
-    signs = (vectors @ planes(vectors.shape[1], tables, bits, seed)) > 0
-    return signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits))
+def signatures(vectors: np.ndarray, tables: int, bits: int, seed: int = 42, first: int | None = None) -> np.ndarray:
+    """Sign codes, (vectors, tables); ``first``: of that many tables only."""
+    some = tables if first is None else first
+    signs = (vectors @ planes(vectors.shape[1], tables, bits, seed)[:, : some * bits]) > 0
+    return signs.reshape(len(vectors), some, bits) @ (1 << np.arange(bits))
 
 
 def usable(vector: Column) -> Column:
@@ -50,22 +59,26 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def block_links(left: tuple, right: tuple | None, table: int, threshold: float):
+def block_links(left: tuple, right: tuple | None, table: int, threshold: float, codes):
     """Links of one pair of blocks that no earlier table shows: weights linked to each side, and a chain of links.
 
-    A side is (positions, unit vectors, codes, weights); ``right`` None compares a block with itself.
+    A side is (positions, unit vectors, weights); ``right`` None compares a block with itself. ``codes`` gives the sign
+    codes of vectors in the tables before this one; it is asked for vectors with a link only.
     """
     own = right is None
     right = left if own else right
     close = left[1] @ right[1].T >= threshold
     if own:
         np.fill_diagonal(close, False)
-    for t in range(table):
-        if not close.any():
-            break
-        close &= left[2][:, t][:, None] != right[2][:, t][None, :]
-    to_left = close @ right[3]
-    to_right = None if own else left[3] @ close
+    if table and close.any():
+        at = np.ix_(np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0)))
+        some, a = close[at], codes(left[1][at[0][:, 0]])
+        b = codes(right[1][at[1][0]])
+        for t in range(table):
+            some &= a[:, t][:, None] != b[:, t][None, :]
+        close[at] = some
+    to_left = close @ right[2]
+    to_right = None if own else left[2] @ close
     chain = [(left[0][i], right[0][j]) for i, j in _chain(close, own)]
     return to_left, to_right, chain
 
@@ -98,21 +111,24 @@ def _chain(close: np.ndarray, own: bool) -> list[tuple[int, int]]:
 
 
 def similar_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-                    threshold: float = 0.93, bits: int = BITS, miss: float = MISS, block: int = BLOCK, seed: int = 42) -> DataFrame:
+                    threshold: float = 0.93, bits: int | None = None, miss: float = MISS, block: int = BLOCK, seed: int = 42) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row; only vectors of equal label that is not null are compared.
 
     Equal vectors of a label are one class, searched once and counted as often as they occur; classes meet where
     they share a sign code in some table, and every pair that meets is checked by its cosine in double precision.
-    A pair counts in the first table that it shares. Codes held by more classes than ``block`` are cut into blocks
+    A pair counts in the first table that it shares. Without ``bits``, codes get longer with the different vectors of the
+    largest label, and the tables more, so that a code holds about ``CROWD`` unrelated ones at every size. Codes held by more classes than ``block`` are cut into blocks
     and compared block by block; a block emits counts and a chain of links, never its pairs. Vectors that are
     null, empty, zero or not finite, or whose label is null, link with nothing. Vectors of unlike length are never
     compared. Repeated rows are vectors of their own. A null id is carried through and never names a component.
     """
-    tables = tables_needed(threshold, bits, miss)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     good = usable(F.col("v")) & F.col("label").isNotNull()
     classes = cut_lineage(rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
                           .withColumn("pos", F.monotonically_increasing_id()))
+    if bits is None:
+        bits = bits_needed(classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    tables = tables_needed(threshold, bits, miss)
 
     def code(batches):
         for batch in batches:
@@ -147,13 +163,13 @@ def similar_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
             pos, own_, x, w = (np.concatenate([p[i] for p in parts]) for i in range(4))
             lo, hi = parts[0][4], parts[0][5]
             x = unit(x)
-            codes = signatures(x, tables, bits, seed)
-            side = lambda m: (pos[m], x[m], codes[m], w[m].astype(np.float64))
+            codes = lambda v: signatures(v, tables, bits, seed, table)
+            side = lambda m: (pos[m], x[m], w[m].astype(np.float64))
             if lo == hi:
-                counts, _, chain = block_links(side(own_ == lo), None, table, threshold)
+                counts, _, chain = block_links(side(own_ == lo), None, table, threshold, codes)
                 found = [(pos[own_ == lo], counts)]
             else:
-                left, right, chain = block_links(side(own_ == lo), side(own_ == hi), table, threshold)
+                left, right, chain = block_links(side(own_ == lo), side(own_ == hi), table, threshold, codes)
                 found = [(pos[own_ == lo], left), (pos[own_ == hi], right)]
             a = np.concatenate([p for p, _ in found])
             n = np.concatenate([c for _, c in found])
