@@ -146,8 +146,8 @@ def test_models_separate_separable_data(spark, tmp_path):
             "is_attack": (F.col("family") != "Benign").cast("int")})
     features = ["a", "b"]
     binary = forest.train_binary(rows, features, "is_attack", numTrees=10, maxDepth=4)
-    for booster in (False, True):
-        family = forest.train_family(rows, features, "family", booster=booster, trees=2 if booster else 5, depth=3)
+    for booster in (False, True, "one_against_rest"):
+        family = forest.train_family(rows, features, "family", booster=booster, trees={False: 5, True: 20}.get(booster, 2), depth=3)
         named = forest.family_probabilities(family, rows)
         assert named.filter("family = predicted_family").count() >= 1150
         assert named.filter("family_attack_proba < 0 OR family_attack_proba > 1 OR family_attack_proba IS NULL").count() == 0

@@ -12,7 +12,7 @@ from threatlake.operators import sampling as SA
 from threatlake.plans import reports as R
 from threatlake.plans import views as V
 
-PYTHON = {"scored_events_checked", "oversampled_counts", "isolation_forest_scores", "scored_events", "nearest_neighbours", "oversampled_minority"}
+PYTHON = {"softmax_families", "scored_events_checked", "oversampled_counts", "isolation_forest_scores", "scored_events", "nearest_neighbours", "oversampled_minority"}
 EAGER = {"appended_loads", "job_priority_distribution", "job_top_alerts", "binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from threatlake.checks.registry import Data, query
 from threatlake.checks.stars import SPLIT
 from threatlake.functions.numbers import lookup
 from threatlake.ml import evaluation as E
-from threatlake.ml import forest, isolation, oversample, scoring
+from threatlake.ml import boosting, forest, isolation, oversample, scoring
 from threatlake.operators import sampling as SA
 from threatlake.session import cut_lineage
 
@@ -195,6 +197,23 @@ def family_forest(d: Data):
     return forest.family_probabilities(model, rows).select("event_id", "family", "family_attack_proba", "predicted_family")
 
 
+@query("""SELECT vec_id AS event_id, TRUE AS sums_to_one, TRUE AS likeliest, TRUE AS from_benign, TRUE AS loss_falls, TRUE AS better_than_shares FROM embeddings""")
+def softmax_families(d: Data):
+    """What must hold for the softmax-boosted family model on every event, and for its loss, whatever the trees are."""
+    rows = _vectors(d)
+    model = boosting.fit(forest.with_class_weight(rows, "family"), FEATURES, "family", "weight", rounds=8, depth=4)
+    scored = cut_lineage(model.transform(rows).select("event_id", "family", "probability", "predicted_family"))
+    half = boosting.SoftmaxBooster(model.features, model.labels, model.cuts, model.rate, model.rounds[:4]).transform(rows)
+    loss, before = (boosting.log_loss(x, "family", model.labels) for x in (scored, half))
+    p = F.col("probability")
+    attack = forest.family_probabilities(model, rows).select("event_id", "family_attack_proba")
+    place = F.array_position(F.array(*[F.lit(x) for x in model.labels]), F.col("predicted_family")).cast("int")
+    return scored.join(attack, "event_id").select(
+        "event_id", (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"), (F.element_at(p, place) == F.array_max(p)).alias("likeliest"),
+        (F.abs(F.col("family_attack_proba") + p[model.labels.index("Benign")] - 1) < 1e-9).alias("from_benign"), F.lit(loss < before).alias("loss_falls"),
+        F.lit(loss < math.log(len(model.labels))).alias("better_than_shares"))
+
+
 @query()
 def isolation_forest_scores(d: Data):
     rows = _vectors(d)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake.functions.numbers import clean_features
+from threatlake.ml import boosting
 from threatlake.session import cut_lineage
 
 # fixed values: trees and depth of the three binary forests
@@ -66,12 +67,16 @@ def positive_probability(model: PipelineModel, df: DataFrame, out: str) -> DataF
 
 
 def train_family(
-    df: DataFrame, features, label: str, booster: bool = False, seed: int = 42, trees: int = 100, depth: int = 8,
-) -> PipelineModel:
+    df: DataFrame, features, label: str, booster: bool | str = False, seed: int = 42, trees: int = 100, depth: int = 8,
+) -> PipelineModel | boosting.SoftmaxBooster:
     """Multi-class model with balanced weights and alphabetic label codes.
 
-    The default is a multinomial forest; ``booster`` takes one gradient-boosted model per class.
+    The default is a multinomial forest; ``booster`` takes softmax boosting of ``trees`` rounds, "one_against_rest" one
+    gradient-boosted model per class.
     """
+    if booster is True:
+        weighed = with_class_weight(cut_lineage(df.select(*features, label)), label, "_weight")
+        return boosting.fit(weighed, features, label, "_weight", rounds=trees, depth=depth)
     clean = with_class_weight(cut_lineage(clean_features(df, features).select(*features, label)), label)
     codes = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc").fit(clean)
     if booster:
@@ -97,8 +102,11 @@ def _one_against_rest(stage, df: DataFrame) -> DataFrame:
     return df.withColumns({"probability": array_to_vector(shares), "rawPrediction": array_to_vector(shares), "prediction": best.cast("double")}).drop(*names)
 
 
-def family_probabilities(model: PipelineModel, df: DataFrame, benign: str = "Benign") -> DataFrame:
+def family_probabilities(model: PipelineModel | boosting.SoftmaxBooster, df: DataFrame, benign: str = "Benign") -> DataFrame:
     """1 - P(benign) and the most likely family; labels are not needed at scoring time."""
+    if isinstance(model, boosting.SoftmaxBooster):
+        scored = model.transform(clean_features(df, model.features))
+        return scored.withColumn("family_attack_proba", 1.0 - F.col("probability")[model.labels.index(benign)]).drop("probability")
     stages = [s for s in model.stages if not hasattr(s, "labelsArray")]
     labels = next(s for s in model.stages if hasattr(s, "labelsArray")).labels
     scored = clean_features(df, model.stages[0].getInputCols())
