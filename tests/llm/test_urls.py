@@ -1,6 +1,7 @@
 """URL verdicts against plain Python versions of the rules and of the Markov models."""
 
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -42,6 +43,10 @@ def test_hosts_paths_and_rules(spark):
 
 
 def plain_ratio(examples, url, longest=4, smooth=2.0):
+    return plain_ratios(examples, [url], longest, smooth)[url]
+
+
+def plain_ratios(examples, asked, longest=4, smooth=2.0):
     mark = lambda u: "\x02" + u.lower() + "\x03"
     grams, contexts = {}, {}
     for u, verdict in examples:
@@ -51,28 +56,44 @@ def plain_ratio(examples, url, longest=4, smooth=2.0):
                 g, c = (k, m[max(i - k, 0) : i + 1]), (k, m[max(i - k, 0) : i])
                 grams[g, verdict] = grams.get((g, verdict), 0) + 1
                 contexts[c, verdict] = contexts.get((c, verdict), 0) + 1
-    m, total = mark(url), 0.0
-    for i in range(1, len(m)):
-        p = {"allow": 1 / 256, "block": 1 / 256}
-        for k in range(longest):
-            for v in p:
-                p[v] = (grams.get(((k, m[max(i - k, 0) : i + 1]), v), 0) + smooth * p[v]) / (contexts.get(((k, m[max(i - k, 0) : i]), v), 0) + smooth)
-        total += math.log(p["allow"] / p["block"])
-    return total / (len(m) - 1) if url else 0.0
+    out = {}
+    for url in asked:
+        m, total = mark(url), 0.0
+        for i in range(1, len(m)):
+            p = {"allow": 1 / 256, "block": 1 / 256}
+            for k in range(longest):
+                for v in p:
+                    p[v] = (grams.get(((k, m[max(i - k, 0) : i + 1]), v), 0) + smooth * p[v]) / (contexts.get(((k, m[max(i - k, 0) : i]), v), 0) + smooth)
+            total += math.log(p["allow"] / p["block"])
+        out[url] = total / (len(m) - 1) if url else 0.0
+    return out
 
 
 def test_ratio_equals_plain_markov_models(spark):
     examples = [(f"http://good{i}.site.com/read/{i}", "allow") for i in range(30)] + [(f"http://spam{i}.bad.net/es/win{i}", "block") for i in range(25)]
     asked = ["", "http://good5.org/read", "http://spam.bad.org/win", "x", "http://good0.site.com/read/0"]
-    table = urls.count_table(spark.createDataFrame(examples, "url string, verdict string"), cells=1 << 20)
+    table = urls.count_table(spark.createDataFrame(examples, "url string, verdict string"))
     frame = spark.createDataFrame([(u,) for u in asked + asked], "url string")
-    got = {r.url: r.ratio for r in urls.log_ratios(frame, table, cells=1 << 20).collect()}
+    got = {r.url: r.ratio for r in urls.log_ratios(frame, table).collect()}
     assert len(got) == len(asked)
     for u in asked:
         assert abs(got[u] - plain_ratio(examples, u)) < 1e-9, u
     assert got["http://good5.org/read"] > 0 > got["http://spam.bad.org/win"]
 
 
+def test_counts_keep_every_gram_apart(spark):
+    """Far more different grams than any fixed table of 65,536 cells holds without sharing, by the query's own settings."""
+    rng = random.Random(3)
+    examples = [("http://" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-", k=40)) + (".com/" if i % 2 else ".net/fr/"), "allow" if i % 2 else "block")
+                for i in range(2500)]
+    table = urls.count_table(spark.createDataFrame(examples, "url string, verdict string"))
+    assert table.count() > 100_000 and table.where("key = ''").first().allow == sum(len(u) + 1 for u, v in examples if v == "allow")
+    asked = [u for u, _ in examples[:20]] + ["http://" + "".join(rng.choices("abcxyz0189", k=30)) for _ in range(20)]
+    got = {r.url: r.ratio for r in urls.log_ratios(spark.createDataFrame([(u,) for u in asked], "url string"), table).collect()}
+    want = plain_ratios(examples, asked)
+    assert all(abs(got[u] - want[u]) < 1e-9 for u in asked)
+
+
 def test_urls_without_a_rule_follow_the_examples(spark):
     extra = [f"https://news{i}.pages.com/article/{i}" for i in range(60)] + [f"https://win{i}.casino.net/fr/bet{i}" for i in range(60)]
     extra += ["https://news5.pages.org/article/77", "https://win8.casino.org/bet12", "https://win8.casino.org/bet12"]
