@@ -119,3 +119,12 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, documents, toxic_texts)
     true = [(i, y) for i, (_, y) in enumerate(toxic_texts[:120])]
     models = [toxicity.fit(documents(rows), spark.createDataFrame(x, "doc_id bigint, toxic int")) for x in (true, flipped)]
     assert np.array_equal(models[0].grams, models[1].grams)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_learned_texts_are_bounded(spark, documents, module):
+    """An id that repeats a thousand times gives one text, and a text over the bound none."""
+    rows = [(1, f"text {i}", "s") for i in range(1000)] + [(2, "x" * 500, "s"), (3, "short", "s"), (3, None, "s"), (4, None, "s")]
+    chosen = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1), (5, 0)], "doc_id bigint, label int")
+    got = sorted((r.doc_id, r.label, bytes(r.text)) for r in module.bounded_texts(documents(rows), "doc_id", "text", chosen, 100).collect())
+    assert got == [(1, 0, b"text 0"), (3, 1, b""), (4, 1, b"")]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.llm.subwords import ngram_buckets, windows
-from threatlake.llm.text import chunks, interned, map_rows, remainder, text_bytes
+from threatlake.llm.text import TEXT_BYTES, bounded_texts, chunks, interned, map_rows, remainder, text_bytes
 
 #: Bound of the training sample: labelled texts of each class.
 SAMPLE = 2000
@@ -137,8 +137,9 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, passage: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4,
-        held_out: int = 2, sample: int = SAMPLE) -> Quality:
-    """Learns from at most ``sample`` labelled texts of each class, those of lowest id hash; rows of the held-out fold,
+        held_out: int = 2, sample: int = SAMPLE, longest: int = TEXT_BYTES) -> Quality:
+    """Learns from at most ``sample`` labelled texts of each class, those of lowest id hash, without texts of over ``longest`` bytes; so the
+    driver holds at most 2 * ``sample`` * ``longest`` bytes. An id that repeats gives one text. Rows of the held-out fold,
     and rows without a label of 0 or 1, are never read. Equal texts of a class count once; the class shares that
     weigh the loss come from all labels of the training folds."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = known.agg(F.avg("label").alias("p")).first().p
     order = F.xxhash64("doc_id", "label")
     ids = [known.where(F.col("label") == k).orderBy(order).limit(sample) for k in (0, 1)]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).join(ids[0].union(ids[1]), "doc_id").collect()
+    rows = bounded_texts(docs, doc_id, text, ids[0].union(ids[1]), longest).collect()
     rows = sorted({(bytes(r.text), r.label) for r in rows})
     return train([t for t, _ in rows], np.array([y for _, y in rows], int), 0.5 if share is None else min(max(share, 0.05), 0.95))
 

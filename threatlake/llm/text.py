@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at a time inside a task, a longer text alone; and rows turned into Python values at a time.
 CHUNK_BYTES, SLICE_ROWS = 4 << 20, 1024
+#: Bytes of the longest text that a classifier learns from; every text is scored, whatever its length.
+TEXT_BYTES = 1 << 16
 
 
 def text_bytes(name: str) -> Column:
@@ -23,6 +25,12 @@ def remainder(name: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def bounded_texts(docs: DataFrame, doc_id: str, text: str, chosen: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, label, text) of the ids in ``chosen``: one text of at most ``longest`` bytes for each, the least one where an id repeats."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).where(F.octet_length("text") <= longest)
+    return rows.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; the split and case rules of bytes are exactly these."""
     return text.lower().split()
