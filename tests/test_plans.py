@@ -13,7 +13,7 @@ from threatlake.plans import reports as R
 from threatlake.plans import views as V
 
 PYTHON = {"softmax_families", "scored_events_checked", "oversampled_counts", "isolation_forest_scores", "scored_events", "nearest_neighbours", "oversampled_minority"}
-EAGER = {"appended_loads", "job_scored_by_models", "job_priority_distribution", "job_top_alerts", "binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
+EAGER = {"appended_loads", "job_scored_by_models", "job_user_scores", "importance_checked", "job_priority_distribution", "job_top_alerts", "binary_forest", "feature_importance", "family_forest", "user_scores", "quality_results"} | PYTHON
 
 
 def plan(df) -> str:

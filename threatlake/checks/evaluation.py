@@ -190,6 +190,19 @@ def feature_importance(d: Data):
     return forest.feature_importance(model, 15)
 
 
+@query(f"""SELECT unnest({list(FEATURES)!r}) AS feature, TRUE AS share, TRUE AS sums_to_one, TRUE AS ranked""")
+def importance_checked(d: Data):
+    """What must hold for the importance of every feature: shares that sum to one, and the ranked list is their order."""
+    model = forest.train_binary(_vectors(d), FEATURES, "is_attack", numTrees=20, maxDepth=6)
+    every = forest.feature_importance(model)
+    names = [r.feature for r in forest.feature_importance(model, 15).collect()]
+    least = every.where(F.col("feature").isin(names)).agg(F.min("importance")).scalar()
+    total = every.agg(F.sum("importance")).scalar()
+    listed = F.col("feature").isin(names)
+    return every.select("feature", F.col("importance").between(0, 1).alias("share"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                        F.when(listed, F.col("importance") >= least).otherwise(F.col("importance") <= least).alias("ranked"))
+
+
 @query()
 def family_forest(d: Data):
     rows = _vectors(d)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from threatlake import constants as C
 from threatlake.checks.registry import Data, query
+from threatlake.functions import activity as A
 from threatlake.functions import labels as L
 from threatlake.functions.scores import priority_label
 from threatlake.ml import scoring
 from threatlake.operators import dimensions as D
-from threatlake.plans import flow_job, scoring_job
+from threatlake.plans import flow_job, insider_job, scoring_job
 from threatlake.plans import reports as R
 from threatlake.session import checkpoint_folder
 from threatlake.sources.loads import all_loads
@@ -105,6 +106,29 @@ def job_scored_by_models(d: Data):
         (F.col("priority_label") == label).alias("label_fits"), (written & (F.col("model_version") == version)).alias("written"))
 
 
+NO_WORKSTATIONS = "asset_sk bigint, asset_identifier string, asset_type string, is_internal int, source_system string"
+
+
+@query("""SELECT c_custkey AS user_id, COUNT(a.event_id_src) AS total_events, TRUE AS in_range, TRUE AS label_fits, TRUE AS view_fits
+  FROM customer LEFT JOIN fx_activity a ON a.user_id = c_custkey AND a.event_time >= TIMESTAMP '2023-12-01' GROUP BY 1""")
+def job_user_scores(d: Data):
+    """The insider job and the user scoring job: a model of the stored profiles, scores of all users on the activity fact, the user view.
+    What must hold for each user; a user without a profile has no score, and the mean over the user's events is the score itself."""
+    root, version = f"{checkpoint_folder(d.spark)}/users-{uuid.uuid4().hex}", "v1"
+    users = d.customer.select(F.lit("2023-12-01").cast("date").alias("snapshot_date"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
+    activity = d.activity.withColumns({
+        "email_recipients_count": A.recipient_count(F.col("email_to"), F.col("email_cc")), "email_to_external_domain": A.to_external(F.col("email_to"))})
+    tables = insider_job.run_insider_job(d.spark, users, d.insider, activity, d.spark.createDataFrame([], NO_WORKSTATIONS), root, version, ["role"], 10)
+    out = scoring_job.run_user_scoring(d.spark, tables, d.insider, root, version, numTrees=20, maxDepth=6)
+    scores = out["user_scores"].join(tables["dim_user"].select("user_sk", "user_id"), "user_sk").select("user_id", "risk_score", "risk_label")
+    score, mean = F.col("risk_score"), F.col("avg_risk_score")
+    label = F.when(score >= 0.5, "high").when(score >= 0.315, "elevated").when(score >= 0.1, "low").otherwise("baseline")
+    same = F.when(score.isNull(), mean.isNull()).otherwise(F.coalesce(F.abs(score - mean) < 1e-9, F.lit(False)))
+    return out["v_user_risk_scoring"].join(scores, "user_id", "left").select(
+        "user_id", "total_events", F.coalesce(score.between(0, 1), F.lit(True)).alias("in_range"), F.coalesce(F.col("risk_label") == label, score.isNull()).alias("label_fits"),
+        same.alias("view_fits"))
+
+
 LOADED = "(SELECT *, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS load_id FROM fx_flow WHERE src_ip IS NOT NULL AND dest_ip IS NOT NULL AND event_time IS NOT NULL)"
 
 
