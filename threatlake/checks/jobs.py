@@ -16,7 +16,7 @@ from threatlake.ml import scoring
 from threatlake.operators import dimensions as D
 from threatlake.plans import flow_job, insider_job, scoring_job
 from threatlake.plans import reports as R
-from threatlake.session import checkpoint_folder
+from threatlake.session import checkpoint_folder, spread, wide_rows
 from threatlake.sources.loads import all_loads
 from threatlake.sources.sinks import next_version
 
@@ -47,11 +47,12 @@ def _stored(d: Data) -> tuple[DataFrame, DataFrame]:
 
 
 def _flows(d: Data) -> DataFrame:
-    """Flows under file column names, without ids of their own."""
+    """Flows under file column names, without ids of their own; dealt out over tasks while they are narrow."""
     label = F.col("label")
     own = {"total_fwd_packets": F.col("user_id") % 50, "total_bwd_packets": F.hour("event_time")}  # measures that models can tell apart
     measures = {source: own.get(name, F.col("value")) for source, name in C.FLOW_COLUMNS.items() if name in C.FLOW_FEATURES}
-    return d.flow.select(
+    flow = spread(d.flow.select("event_id", "src_ip", "dest_ip", "src_port", "dest_port", "protocol_num", "event_time", "source_day", "user_id", "value", "label"), 16_384)
+    return flow.select(
         F.col("event_id").alias("_id"), F.col("event_id").cast("string").alias("Flow ID"), F.col("src_ip").alias("Source IP"), F.col("dest_ip").alias("Destination IP"),
         F.col("src_port").alias("Source Port"), F.col("dest_port").alias("Destination Port"), F.col("protocol_num").alias("Protocol"), "event_time", "source_day",
         L.label_clean(label).alias("label_clean"), L.attack_family(label).alias("attack_family"), L.is_attack(label).alias("is_attack"),
@@ -66,7 +67,8 @@ def _run(d: Data) -> str:
     fact = out["fact_security_event"]
     score = F.pmod("event_id", F.lit(1000)) / 1000.0
     scores = fact.select("event_id", score.alias("priority_score"), priority_label(score).alias("priority_label"), score.alias("anomaly_score"))
-    next_version(d.spark, scoring.write_back(fact, scores, "v1"), root, "fact_scored", "v1")
+    with wide_rows(d.spark):
+        next_version(d.spark, scoring.write_back(fact, scores, "v1"), root, "fact_scored", "v1")
     return root
 
 

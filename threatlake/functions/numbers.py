@@ -74,11 +74,11 @@ def cast_by_map(df: DataFrame, types: dict[str, str], keep: tuple[str, ...] = ()
 
 
 def coerce_integers(df: DataFrame, columns) -> DataFrame:
-    """Nullable longs; columns that are whole numbers already are widened only, so no digit is lost."""
+    """Nullable longs; columns that are whole numbers already are widened only, so no digit is lost, and doubles need no text in between."""
     kinds = dict(df.dtypes)
     whole = ("tinyint", "smallint", "int", "bigint")
     return df.withColumns({
-        c: F.col(c).cast("bigint") if kinds[c] in whole else to_integer(F.col(c).cast("string")) for c in columns if c in kinds})
+        c: F.col(c).cast("bigint") if kinds[c] in whole else to_integer(F.col(c) if kinds[c] == "double" else F.col(c).cast("string")) for c in columns if c in kinds})
 
 
 def clean_features(df: DataFrame, columns) -> DataFrame:

@@ -20,6 +20,7 @@ from threatlake.operators.sampling import extract_sample
 from threatlake.plans.audit import RunAudit
 from threatlake.plans.increments import views_from_states, write_states
 from threatlake.plans.views import refresh_views
+from threatlake.session import wide_rows
 from threatlake.sources.loads import all_loads, one_load, stored_with_ids, write_load
 from threatlake.sources.sinks import next_version, observed_version, write_fact, write_tables
 
@@ -123,7 +124,7 @@ def run_flow_job(
     that is added to one fact (and replaces itself when it is repeated), and the view tables grow by the states of that load.
     """
     out: dict[str, DataFrame] = {}
-    with RunAudit(spark, f"{root}/meta", "flow_pipeline", run_mode=mode, config={"version": version, "size": size}) as run:
+    with RunAudit(spark, f"{root}/meta", "flow_pipeline", run_mode=mode, config={"version": version, "size": size}) as run, wide_rows(spark):
         fresh = f"{version}-{run.run_id}" if append else version  # a repeated load may be given the tables that it wrote before
         with run.stage("extract") as stage:
             Q.require_columns(flows, at_least=least_columns)

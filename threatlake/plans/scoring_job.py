@@ -19,7 +19,7 @@ from threatlake.operators.sampling import stratified_sample, stratified_split
 from threatlake.plans import insider_job
 from threatlake.plans.audit import RunAudit
 from threatlake.plans.views import refresh_views, user_risk_scoring
-from threatlake.session import cut_lineage
+from threatlake.session import cut_lineage, wide_rows
 from threatlake.sources.sinks import next_version, write_tables
 
 
@@ -79,7 +79,7 @@ def run_flow_scoring(
     spark: SparkSession, fact: DataFrame, models: FlowModels, assets: DataFrame, dates: DataFrame, attack_types: DataFrame, root: str, version: str,
 ) -> dict[str, DataFrame]:
     """Scores every event of the stored fact, writes the fact with its score columns as a new version, refreshes the views."""
-    with RunAudit(spark, f"{root}/meta", "flow_scoring", config={"version": version}) as run:
+    with RunAudit(spark, f"{root}/meta", "flow_scoring", config={"version": version}) as run, wide_rows(spark):
         with run.stage("score") as stage:
             scores = next_version(spark, scoring.score_events(fact, models.binary, models.family, models.anomaly, ["event_id"]), root, "event_scores", version)
             stage.rows_out = run.counts["transformed"] = scores.count()
