@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threatlake.functions.numbers import clean_features
 from threatlake.ml import boosting
-from threatlake.session import cut_lineage
+from threatlake.session import cut_lineage, spread
 
 # fixed values: trees and depth of the three binary forests
 FLOW_FOREST = {"numTrees": 100, "maxDepth": 20}
@@ -48,12 +48,13 @@ def train_binary(
 ) -> PipelineModel:
     """Random forest over cleaned features; ``balanced`` weighs classes inversely to their size.
 
-    Fitting reads its input several times, so the feature columns are checkpointed first.
+    Fitting reads its input several times, so the feature columns are checkpointed first, one part a core: a level of the
+    trees costs each part a pass, and what the parts add up is shuffled.
     """
     clean = clean_features(df, features).withColumn(label, F.col(label).cast("double"))
     params = {**FLOW_FOREST, "maxBins": BINS, **forest}
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, cacheNodeIds=False, **params)
-    clean = cut_lineage(clean.select(*features, label))
+    clean = cut_lineage(spread(clean.select(*features, label), 1024, waves=1))
     if balanced:
         clean, rf = with_class_weight(clean, label), rf.setWeightCol("weight")
     return _bare(Pipeline(stages=[assembler(features), rf]).fit(clean))
@@ -77,7 +78,7 @@ def train_family(
     if booster is True:
         weighed = with_class_weight(cut_lineage(df.select(*features, label)), label, "_weight")
         return boosting.fit(weighed, features, label, "_weight", rounds=trees, depth=depth)
-    clean = with_class_weight(cut_lineage(clean_features(df, features).select(*features, label)), label)
+    clean = with_class_weight(cut_lineage(spread(clean_features(df, features).select(*features, label), 1024, waves=1)), label)
     codes = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc").fit(clean)
     if booster:
         gbt = GBTClassifier(maxDepth=depth, maxBins=BINS, maxIter=trees, stepSize=0.1, seed=seed, weightCol="weight", labelCol="_code")
