@@ -19,7 +19,7 @@ def one_file(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("one_file")
     n = F.col("id")
     vectors = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.pmod(F.xxhash64(n, i), F.lit(1000)) / 1000).cast("float"))
-    spark.range(3000).select(n.alias("vec_id"), vectors.alias("embedding"), (n % 10).cast("int").alias("label")).coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    spark.range(9000).select(n.alias("vec_id"), vectors.alias("embedding"), (n % 10).cast("int").alias("label")).coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
     spark.range(40_000).select(
         n.alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id % 500)").alias("ts"), (n % 100).alias("user_id"),
         F.lit("click").alias("event_type"), (n / 7).alias("value")).coalesce(1).write.parquet(f"{folder}/events.parquet")
@@ -28,7 +28,7 @@ def one_file(spark, tmp_path_factory):
 
 def test_vectors_and_flows_leave_their_file(spark, one_file):
     d = Data(spark, one_file)
-    for rows, stored, n in ((evaluation._vectors(d), d.embeddings, 3000), (jobs._flows(d), d.events, 40_000)):
+    for rows, stored, n in ((evaluation._vectors(d), d.embeddings, 9000), (jobs._flows(d), d.events, 40_000)):
         assert stored.rdd.getNumPartitions() == 1 < rows.rdd.getNumPartitions()
         assert rows.count() == n == rows.distinct().count()
 
@@ -39,7 +39,7 @@ def test_forest_is_fitted_on_spread_rows(spark, one_file, monkeypatch):
     monkeypatch.setattr(forest, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
     rows = spark.read.parquet(f"{one_file}/embeddings.parquet").select(F.col("embedding")[0].cast("double").alias("x0"), (F.col("label") > 4).cast("int").alias("y"))
     forest.train_binary(rows, ["x0"], "y", numTrees=2, maxDepth=2)
-    assert seen[0].rdd.getNumPartitions() > 1 and seen[0].count() == 3000
+    assert seen[0].rdd.getNumPartitions() > 1 and seen[0].count() == 9000
 
 
 def test_wide_rows_gives_the_limit_back(spark):

@@ -173,7 +173,7 @@ def class_weights(d: Data):
 def _vectors(d: Data) -> DataFrame:
     family = F.element_at(F.array(*[F.lit(x) for x in ("Benign", "DoS", "DDoS", "Botnet", "Web Attack")]), (F.col("label") % 5 + 1).cast("int"))
     columns = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(len(FEATURES))}
-    return spread(d.embeddings, 1024, waves=2).select(F.col("vec_id").alias("event_id"), family.alias("family"), *[c.alias(n) for n, c in columns.items()]).withColumn(
+    return spread(d.embeddings, waves=2).select(F.col("vec_id").alias("event_id"), family.alias("family"), *[c.alias(n) for n, c in columns.items()]).withColumn(
         "is_attack", (F.col("family") != "Benign").cast("int"))
 
 

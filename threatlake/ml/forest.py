@@ -54,7 +54,7 @@ def train_binary(
     clean = clean_features(df, features).withColumn(label, F.col(label).cast("double"))
     params = {**FLOW_FOREST, "maxBins": BINS, **forest}
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, cacheNodeIds=False, **params)
-    clean = cut_lineage(spread(clean.select(*features, label), 1024, waves=1))
+    clean = cut_lineage(spread(clean.select(*features, label), waves=1))
     if balanced:
         clean, rf = with_class_weight(clean, label), rf.setWeightCol("weight")
     return _bare(Pipeline(stages=[assembler(features), rf]).fit(clean))
@@ -78,7 +78,7 @@ def train_family(
     if booster is True:
         weighed = with_class_weight(cut_lineage(df.select(*features, label)), label, "_weight")
         return boosting.fit(weighed, features, label, "_weight", rounds=trees, depth=depth)
-    clean = with_class_weight(cut_lineage(spread(clean_features(df, features).select(*features, label), 1024, waves=1)), label)
+    clean = with_class_weight(cut_lineage(spread(clean_features(df, features).select(*features, label), waves=1)), label)
     codes = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc").fit(clean)
     if booster:
         gbt = GBTClassifier(maxDepth=depth, maxBins=BINS, maxIter=trees, stepSize=0.1, seed=seed, weightCol="weight", labelCol="_code")
