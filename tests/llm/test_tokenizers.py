@@ -44,6 +44,33 @@ def test_bpe_digests_and_empty_table(documents):
     assert bpe.encode_decode(documents([]).where("false"), BPE_FILE).count() == 0
 
 
+def test_words_merged_side_by_side_equal_single_merges():
+    """Words of all lengths, in the widths that are merged together and beyond them, in any order."""
+    rng, vocabulary = random.Random(7), bpe.Vocabulary.read(BPE_FILE)
+    asked = ["".join(rng.choices("aeinst hou_'.-019éß日😀", k=rng.randint(1, 45))).encode() for _ in range(3000)] + [b"", b"a", b"a" * 40, b"a" * 41, b"ab" * 900]
+    assert vocabulary.merge_all(asked) == [vocabulary.merge(w) for w in asked]
+    assert vocabulary.merge_all([]) == []
+
+
+def test_ascii_words_equal_the_published_pattern():
+    rng, vocabulary = random.Random(8), bpe.Vocabulary.read(BPE_FILE)
+    for _ in range(2000):
+        text = "".join(rng.choices("abst'relv 01.!\t\n\x0b\x1c\x1f\x7f<|>", k=rng.randint(0, 40)))
+        assert vocabulary.cut(text) == vocabulary.words.findall(text)
+
+
+def test_digests_equal_library(documents, sample):
+    t, rows = Tokenizer.from_file(BPE_FILE), rows_of(sample)
+    text = {d: x or "" for d, x, _ in rows}
+    got = bpe.encode_decode(documents(rows), BPE_FILE, digests=True, size=50).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = t.encode(text[r.doc_id], add_special_tokens=False).ids
+        decoded = t.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
+            len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
 def test_lexicon_is_minimal_and_finds_exactly_its_words():
     rng = random.Random(4)
     entries = {bytes(rng.choices(b"abc", k=rng.randint(1, 7))): tuple(rng.choices(range(99), k=rng.randint(0, 4))) for _ in range(400)}

@@ -7,8 +7,10 @@ import heapq
 import json
 import mmap
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,13 @@ from threatlake.llm.text import frequent, map_rows
 LEXICON_WORDS, REMEMBERED = 131_072, 500_000
 #: Bytes of a word up to which its pairs are searched rather than queued, and the rank of a pair that never merges.
 SHORT, NEVER = 40, (1 << 60, -1)
+#: Words merged side by side, by their longest lengths, and at a time.
+WIDTHS, SIDE_BY_SIDE = (8, 16, SHORT), 16_384
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern for texts of ASCII characters only.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,6 +62,11 @@ class Vocabulary:
             self.bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
+        self.none = len(self.bytes_of)  # stands for no id beside the others
+        pairs = np.array([[left * (self.none + 1) + right, rank, new] for (left, right), (rank, new) in self.merges.items()], np.int64).reshape(-1, 3)
+        self.pair_codes, self.pair_ranks = pairs[(by := np.argsort(pairs[:, 0])), 0], pairs[by, 1]
+        self.made = np.zeros(int(pairs[:, 1].max(initial=-1)) + 1, np.int64)
+        self.made[pairs[:, 1]] = pairs[:, 2]
         self.words = regex.compile(PATTERN)
         self.breaks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -71,9 +82,13 @@ class Vocabulary:
             if i % 2:
                 yield True, part
             else:
-                for word in self.words.findall(part):
+                for word in self.cut(part):
                     yield False, word
 
+    def cut(self, text: str) -> list[str]:
+        """Words of a text without added tokens."""
+        return (PLAIN if text.isascii() else self.words).findall(text)
+
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: the pair of lowest rank is merged first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
@@ -108,6 +123,48 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
         return tuple(x for x in ids if x >= 0)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, the number of ranks for pairs that never merge."""
+        code = left * (self.none + 1) + right
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        return np.where(self.pair_codes[at] == code, self.pair_ranks[at], len(self.made))
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many words: short ones take their merges side by side, one of each word at a time."""
+        out, lengths = [()] * len(words), np.fromiter(map(len, words), np.int64, len(words))
+        width_of = np.searchsorted(WIDTHS, lengths)
+        for k, width in enumerate(WIDTHS if len(self.pair_codes) else ()):
+            chosen = np.flatnonzero((width_of == k) & (lengths > 0))
+            for a in range(0, len(chosen), SIDE_BY_SIDE):
+                self._merge_short([words[i] for i in chosen[a : a + SIDE_BY_SIDE]], chosen[a : a + SIDE_BY_SIDE], lengths, width, out)
+        for i in np.flatnonzero((width_of == len(WIDTHS)) | (len(self.pair_codes) == 0)):
+            out[i] = self.merge(words[i])
+        return out
+
+    def _merge_short(self, words: list[bytes], place: np.ndarray, lengths: np.ndarray, width: int, out: list) -> None:
+        left_over, columns = lengths[place], np.arange(width)
+        ids = np.full((len(words), width + 1), self.none, np.int64)
+        ids[:, :-1][columns < left_over[:, None]] = np.asarray(self.byte_ids)[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            open_ = best < len(self.made)
+            if not open_.all():
+                for i, row, n in zip(place[~open_].tolist(), ids[~open_].tolist(), left_over[~open_].tolist(), strict=True):
+                    out[i] = tuple(row[:n])
+                if not open_.any():
+                    return
+                ids, ranks, place, left_over, at, best = ids[open_], ranks[open_], place[open_], left_over[open_], at[open_], best[open_]
+            rows, later = np.arange(len(at)), columns > at[:, None]
+            ids[:, 1:-1] = np.where(later[:, 1:], ids[:, 2:], ids[:, 1:-1])  # what follows the pair moves up
+            ranks[:, :-1] = np.where(later[:, 1:], ranks[:, 1:], ranks[:, :-1])
+            ids[rows, at] = self.made[best]
+            left_over = left_over - 1
+            ranks[rows, at] = self.ranks(ids[rows, at], ids[rows, at + 1])
+            inner = np.flatnonzero(at)
+            ranks[inner, at[inner] - 1] = self.ranks(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -211,20 +268,21 @@ class Lexicon:
 
 
 class Encoder:
-    """Ids of texts: lexicon first, merges for the rest; the ids of recent words are remembered up to a bound."""
+    """Ids of texts: lexicon first, merges for the rest; what ``form`` makes of the ids of recent words is remembered up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memory: dict[str, tuple[int, ...]] = {}
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, form=tuple):
+        self.vocabulary, self.lexicon, self.form = vocabulary, lexicon, form
+        self.memory: dict[str, object] = {}
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        vocabulary, memory = self.vocabulary, self.memory
+    def formed_batch(self, texts: list[str]) -> list[list]:
+        """For each text, the forms of its words and added tokens in order."""
+        vocabulary, memory, form = self.vocabulary, self.memory, self.form
         split, new = [], {}
         for text in texts:
             if vocabulary.breaks and vocabulary.breaks.search(text):
                 parts = [(piece,) if added else piece for added, piece in vocabulary.pieces(text)]
             else:
-                parts = vocabulary.words.findall(text)
+                parts = vocabulary.cut(text)
             split.append(parts)
             new.update(dict.fromkeys(parts))
         if len(memory) + len(new) > REMEMBERED:
@@ -233,12 +291,33 @@ class Encoder:
         plain = [w for w in new if isinstance(w, str)]
         coded = [w.encode() for w in plain]
         found = self.lexicon.find(coded) if self.lexicon else [None] * len(coded)
-        for word, raw, ids in zip(plain, coded, found, strict=True):
-            memory[word] = vocabulary.merge(raw) if ids is None else ids
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missed, vocabulary.merge_all([coded[i] for i in missed]), strict=True):
+            found[i] = ids
+        memory.update(zip(plain, map(form, found), strict=True))
         for token in new:
             if isinstance(token, tuple):
-                memory[token] = (vocabulary.added[token[0]],)
-        return [[i for w in parts for i in memory[w]] for parts in split]
+                memory[token] = form((vocabulary.added[token[0]],))
+        return [list(map(memory.__getitem__, parts)) for parts in split]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, for the form that is the ids themselves."""
+        return [list(chain.from_iterable(got)) for got in self.formed_batch(texts)]
+
+
+def digest_form(vocabulary: Vocabulary):
+    """What digests need of a word: number of ids, ids as text, decoded bytes."""
+    name, raw = [str(i) for i in range(vocabulary.none)].__getitem__, vocabulary.bytes_of.__getitem__
+    return lambda ids: (len(ids), ",".join(map(name, ids)), b"".join(map(raw, ids)))
+
+
+def digests_of(got: list[tuple[int, str, bytes]]) -> tuple[int, str, str]:
+    """(number of ids, sha256 of the ids, sha256 of the decoded text)."""
+    if not got:
+        return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
+    n, ids, decoded = zip(*got, strict=True)
+    text = b"".join(decoded).decode("utf-8", "replace")
+    return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
@@ -254,7 +333,7 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in split.split(text) if split else [text]:
-                    seen.update(words.findall(part))
+                    seen.update((PLAIN if part.isascii() else words).findall(part))
                 if len(seen) > flush:
                     yield rows()
                     seen.clear()
@@ -291,20 +370,19 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id",
 
     def make():
         vocabulary = Vocabulary(json.loads(content.value))
-        encoder = Encoder(vocabulary, Lexicon.open(SparkFiles.get(name)))
+        encoder = Encoder(vocabulary, Lexicon.open(SparkFiles.get(name)), digest_form(vocabulary) if digests else tuple)
 
         def work(batch):
             texts, out = batch[source], {"ids": [], "decoded": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for i in range(0, len(texts), 512):
-                for ids in encoder.encode_batch(texts[i : i + 512]):
-                    decoded = vocabulary.decode(ids)
-                    if digests:
-                        out["n_tokens"].append(len(ids))
-                        out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                        out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    else:
+                if digests:
+                    for got in encoder.formed_batch(texts[i : i + 512]):
+                        for k, x in zip(("n_tokens", "ids_sha256", "decoded_sha256"), digests_of(got), strict=True):
+                            out[k].append(x)
+                else:
+                    for ids in encoder.encode_batch(texts[i : i + 512]):
                         out["ids"].append(ids)
-                        out["decoded"].append(decoded)
+                        out["decoded"].append(vocabulary.decode(ids))
             return out
         return work
 
