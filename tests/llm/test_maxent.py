@@ -96,3 +96,23 @@ def test_word_within_its_class_follows_the_skipped_word():
 def test_class_follows_the_pair_of_words_before():
     names = ["a", "b", "x", *(f"w{i}" for i in range(maxent.MEMBERS - 3)), "y", ""]  # x and y in two classes
     assert (taught(names, [f"{a} {b} {'x' if a == b else 'y'}" for a in "ab" for b in "ab"])[2::4] > 0.8).all()
+
+
+def test_group_sums_equal_reduceat_bit_for_bit():
+    """Groups of one row, of some rows and of many, in a given order; no group reaches into the next."""
+    rng = np.random.default_rng(5)
+    for width, longest in ((32, 3), (64, 9), (5, 400)):
+        lengths = rng.integers(1, longest + 1, 200)
+        first, order = np.cumsum(lengths) - lengths, rng.permutation(lengths.sum())
+        values = rng.normal(size=(len(order), width)).astype(np.float32)
+        assert np.array_equal(maxent.group_sums(values, order, first), np.add.reduceat(values[order], first, axis=0))
+    assert np.array_equal(maxent.group_sums(values, np.array([3]), np.array([0])), values[3:4])
+
+
+def test_endings_follow_the_hash():
+    for w in (b"", b"a", b"ab", b"abc", "größe".encode(), "日本".encode()):
+        assert maxent.other_class(w) == maxent.CLASSES + crc32(w[-2:]) % maxent.OTHERS and maxent.key_of(w) == bytes([65 + crc32(w[-2:]) % maxent.OTHERS]) + w
+        modelled = maxent.CLASSES * maxent.MEMBERS
+        assert maxent.symbol_of(w) == modelled + crc32(w[-3:]) % (maxent.SYMBOLS - modelled - 1)
+    endings = maxent.Endings(len)
+    assert [endings[str(i).encode()] for i in (1, 22, 1)] == [1, 2, 1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -21,11 +22,33 @@ HEAD, CLASSES, MEMBERS, OTHERS = 1 << 17, 16, 64, 16
 SYMBOLS, PAIR_ROWS, WORD_ROWS, ROUNDS, STEP, RATE = 2560, 1 << 13, 1 << 13, 3, 8192, 0.15
 #: Rows of a table that travel together, words that a counting task holds before it hands them on, and words and bytes of a chunk.
 ROWS, FLUSH = 1024, 1_000_000
+#: Rows of a group up to which groups are added up side by side, and word endings remembered at most.
+SIDE_BY_SIDE, ENDINGS = 8, 1 << 17
+
+
+class Endings(dict):
+    """What ``make`` makes of word endings, worked out once each."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, ending: bytes):
+        if len(self) >= ENDINGS:
+            self.clear()
+        found = self[ending] = self.make(ending)
+        return found
+
+
+#: Letter and number of the class of other words by their last two bytes, history symbol of words that are not modelled by their last three.
+LETTERS = Endings(lambda e: bytes([65 + crc32(e) % OTHERS]))
+KINDS = Endings(lambda e: CLASSES + crc32(e) % OTHERS)
+MARKS = Endings(lambda e: CLASSES * MEMBERS + crc32(e) % (SYMBOLS - CLASSES * MEMBERS - 1))
 
 
 def key_of(word: bytes) -> bytes:
     """A letter for the class of other words, by the word's ending, then the word."""
-    return bytes([65 + crc32(word[-2:]) % OTHERS]) + word
+    return LETTERS[word[-2:]] + word
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -111,26 +134,25 @@ class Stream:
 
 
 def other_class(word: bytes) -> int:
-    return CLASSES + crc32(word[-2:]) % OTHERS
+    return KINDS[word[-2:]]
 
 
 def symbol_of(word: bytes) -> int:
     """Symbol of a word that is not modelled."""
-    return CLASSES * MEMBERS + crc32(word[-3:]) % (SYMBOLS - CLASSES * MEMBERS - 1)
+    return MARKS[word[-3:]]
 
 
 def stream(vocabulary: Vocabulary, texts: list[bytes]) -> Stream:
     split = [words(t) for t in texts]
     for part in split:
         part.append(b"")
-    flat = [w for part in split for w in part]
-    get = vocabulary.head.get
-    rank = np.fromiter([get(w, -1) for w in flat], np.int64, len(flat))
+    flat = list(chain.from_iterable(split))
+    rank = np.fromiter(map(vocabulary.head.get, flat, repeat(-1)), np.int64, len(flat))
     rare = np.flatnonzero(rank < 0)
-    tail = [flat[i] for i in rare]
-    kind, symbol = vocabulary.kinds[rank], vocabulary.symbols[rank]
-    kind[rare] = [other_class(w) for w in tail]
-    symbol[rare] = [symbol_of(w) for w in tail]
+    tail = [flat[i] for i in rare.tolist()]
+    kind, symbol = vocabulary.kinds.take(rank, mode="wrap"), vocabulary.symbols.take(rank, mode="wrap")
+    kind[rare] = [KINDS[w[-2:]] for w in tail]
+    symbol[rare] = [MARKS[w[-3:]] for w in tail]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     text = np.repeat(np.arange(len(split)), lengths)
     one, two = np.empty_like(symbol), np.empty_like(symbol)
@@ -141,6 +163,27 @@ def stream(vocabulary: Vocabulary, texts: list[bytes]) -> Stream:
     return Stream(rank, kind, one, two, text, tail)
 
 
+def group_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``values[order]`` from each start up to the next. Most groups are short: their rows are added for all groups
+    at once, in the order of ``reduceat``, which serves the longer ones."""
+    lengths = np.diff(np.append(first, len(order)))
+    sums = values.take(order.take(first), axis=0)
+    short = np.flatnonzero((lengths > 1) & (lengths <= SIDE_BY_SIDE))
+    short = short[np.argsort(-lengths[short], kind="stable")]  # the longest first, so those that go on are the leading ones
+    if len(short):
+        left, start = lengths[short], first[short]
+        rest = values.take(order.take(start + 1), axis=0)
+        for k in range(2, int(left[0])):
+            n = int(np.searchsorted(-left, -k, side="left"))
+            rest[:n] += values.take(order.take(start[:n] + k), axis=0)
+        sums[short] += rest
+    long = np.flatnonzero(lengths > SIDE_BY_SIDE)
+    if len(long):
+        inside = np.repeat(lengths > SIDE_BY_SIDE, lengths)
+        sums[long] = np.add.reduceat(values.take(order[inside], axis=0), np.cumsum(lengths[long]) - lengths[long], axis=0)
+    return sums
+
+
 class Model:
     """Logits of a class = bias + rows of the previous symbol, of the one before it (a skip over one word) and of both together
     (hashed); logits of a member within its class = bias + hashed rows of (previous symbol, class) and (the one before, class)."""
@@ -162,9 +205,9 @@ class Model:
     def raised(self, table: int, rows: tuple, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits, their exponentials, sums of these)."""
         rows = self.with_pair(table, rows)
-        logits = self.tables[table][rows[0]]
+        logits = self.tables[table].take(rows[0], axis=0)
         for r in rows[1:]:
-            logits += self.tables[table][r]
+            logits += self.tables[table].take(r, axis=0)
         logits += bias
         np.minimum(logits, 80, out=logits)
         e = np.exp(logits)
@@ -201,14 +244,13 @@ class Model:
             g[np.arange(len(target)), target] -= 1
             weights, squares, count = self.tables[table], gathered[table], seen[table]
             for i, r in enumerate(self.with_pair(table, rows)):
-                of = g
-                if i:
-                    order = np.argsort(r.astype(np.uint16), kind="stable")
-                    r, of = r[order], g[order]
+                order = np.argsort(r.astype(np.uint16), kind="stable") if i else np.arange(len(r))
+                r = r[order]
                 first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                sums, hit = np.add.reduceat(of, first, axis=0), r[first]
+                sums, hit = group_sums(g, order, first), r[first]
                 squares[hit] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-                weights[hit] -= (rate / np.sqrt(squares[hit] + 1e-3))[:, None] * sums
+                sums *= (rate / np.sqrt(squares[hit] + 1e-3))[:, None]
+                weights[hit] = weights.take(hit, axis=0) - sums
                 count[hit] += np.diff(np.append(first, len(r)))
 
 
