@@ -54,7 +54,7 @@ def test_mix_takes_effect(steps):
     counted = {}
     for r in after:
         counted[r.doc_id] = counted.get(r.doc_id, 0) + len(r.text.encode().split())
-    assert columns == corpus_pipeline.COLUMNS and counted == {d: n for (d, _, _), n in taken.items() if n}
+    assert columns == corpus_pipeline.COLUMNS and counted == {d: n for d, _, _, n in taken if n}
 
 
 def test_token_ids(steps):
