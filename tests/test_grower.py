@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
-from threatlake.ml import forest, grower
+from threatlake.ml import forest, grower, isolation, scoring
 from threatlake.session import TASK_ROWS
 
 NAMES = ["a", "b", "c", "d"]
@@ -97,3 +97,17 @@ def test_rows_that_differ_in_nothing_make_leaves(spark, monkeypatch):
     model = grower.fit(rows, ["a"], [0, 1], [1.0, 1.0], 3, 5)
     assert [r.nodes for r in model.trees.collect()] == [1, 1, 1]
     assert all(abs(r.probability[1] - 0.25) < 0.1 for r in model.transform(rows).collect())
+
+
+def test_grown_models_score_every_row(spark):
+    """Scores of grown models are fused as those of Spark's, repeated and empty rows included."""
+    rows = table(spark, 700).withColumn("a", F.when(F.col("id") % 9 > 0, F.col("a")))
+    rows = rows.union(rows.where("id < 40")).withColumn("event_id", F.col("id")).withColumn("f", F.when(F.col("family") == "Benign", 0).otherwise(1)).cache()
+    clean = forest.clean_features(rows, NAMES).cache()
+    binary = grower.fit(clean.withColumn("y", F.col("f")), NAMES, [0.0, 1.0], [1.0, 1.0], 5, 5)
+    family = grower.fit(clean.withColumn("y", F.col("f")), NAMES, ["Benign", "DoS"], [1.0, 1.0], 5, 5, seed=7)
+    anomaly = isolation.train_on_benign(rows, NAMES, ["event_id"], "family", trees=10, sample=32)
+    got = scoring.score_events(rows, binary, family, anomaly, ["event_id"]).cache()
+    assert got.count() == 740 and got.columns[:4] == ["event_id", "rf_attack_proba", "family_attack_proba", "predicted_family"]
+    assert got.where("rf_attack_proba BETWEEN 0 AND 1 AND family_attack_proba BETWEEN 0 AND 1 AND priority_label IS NOT NULL").count() == 740
+    assert got.where("(predicted_family = 'Benign') = (family_attack_proba <= 0.5)").count() == 740 and got.select("predicted_family").distinct().count() == 2

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake.functions.scores import family_severity, priority_label, priority_score, severity_weight
+from threatlake.ml.boosting import SoftmaxBooster
 from threatlake.ml.forest import family_probabilities, positive_probability
+from threatlake.ml.grower import GrownForest
 from threatlake.ml.isolation import IsolationForest, min_max
 from threatlake.operators.joins import merge_columns
 from threatlake.session import cut_lineage
@@ -22,7 +24,7 @@ def fuse(scored: DataFrame, weights: dict[str, float] | None = None, certainty_b
 
 
 def score_events(
-    df: DataFrame, binary: PipelineModel, family: PipelineModel, forest: IsolationForest, keep: list[str],
+    df: DataFrame, binary: PipelineModel | GrownForest, family: PipelineModel | SoftmaxBooster | GrownForest, forest: IsolationForest, keep: list[str],
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """Probabilities, predicted family, anomaly and priority per row.
